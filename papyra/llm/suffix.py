@@ -5,8 +5,10 @@ documents together would move the corpus several times over, so the suffixes are
 SPAN-byte string, the KGRAM-byte part of smallest hash. Equal strings have equal anchors, so only strings under an anchor that
 two documents share can repeat.
 
-1. Anchors: each task sends an anchor's hash and one document (two documents of one task answer for each other), packed into
-   binary blocks. What comes back, by document, are the hashes that several documents share.
+Exact copies are settled first, on digests: all but the smallest key lose their whole text and take no further part.
+
+1. Anchors: each task sends an anchor's hash and one document of at most two contents (contents of one task answer for each
+   other), packed into binary blocks. What comes back, by document, are the hashes that several contents share.
 2. Candidates: the strings under shared anchors form runs of neighbouring strings. Each task sends each distinct run once,
    with its smallest document; equal runs are told by their bytes.
 3. Suffix sort: per block of anchors, string starts of distinct runs are grouped by polynomial hash and those that meet are
@@ -18,20 +20,22 @@ two documents share can repeat.
 A group of copies sends one run for each task, not one for each copy, whatever its size.
 
 Defined results: texts shorter than SPAN and null texts keep all; a null key is neither source nor target; rows that repeat
-a key do not remove from each other; overlaps within one document do not count.
+a key are the same document and do not remove from each other; overlaps within one document do not count.
 """
 
 from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.common import blocks, expand, table, written
@@ -41,7 +45,7 @@ KGRAM = 20
 #: Bytes of text whose anchors are found together, and whose runs are told apart together.
 BUFFER = 1 << 21
 GROUP = 1 << 23
-PARTS = 8
+PARTS = 3
 BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _power: dict[str, np.ndarray] = {}
@@ -240,83 +244,92 @@ def _runs(raw: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[np.
 
 
 def _shared_anchors(docs: DataFrame, parts: int, span: int) -> DataFrame:
-    """(key, anchors): by document, hashes (six bytes each) of anchors that another document has too."""
+    """(key, anchors): by document, hashes (six bytes each) of anchors that a document of another content has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             raw, offsets = _texts(batch, "text")
             of = batch.column("key").to_numpy()
             for x, y in blocks(np.diff(offsets).tolist(), 4 * GROUP):
-                found = [(k >> np.uint64(16), r + x) for k, r, _, _ in _runs(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], span)]
-                if not found:
+                found = [(k & ~np.uint64(0xFFFF)) | r.astype(np.uint64) for k, r, _, _ in _runs(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], span)]
+                pair = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
+                if not len(pair):
                     continue
-                pair = np.unique(np.stack([np.concatenate([f[0] for f in found]), of[np.concatenate([f[1] for f in found])].view(np.uint64)], 1).view([("k", "u8"), ("d", "u8")]).ravel()) if found else None
-                keys, who = pair["k"], pair["d"].view(np.int64)
-                if not len(keys):
-                    continue
-                head = np.append(True, keys[1:] != keys[:-1])
-                several = ~head | np.append(~head[1:], False)
-                rows: list[tuple[int, bytes, bytes]] = []
-                # those that meet here are known to be shared: straight to their documents
-                k, d = keys[several], who[several]
-                order = np.argsort(d, kind="stable")
-                k, d = k[order], d[order]
-                cut = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.zeros(0, int)
-                for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(d)], strict=True) if len(d) else ():
-                    rows.append((-1 - int(d[s]) % parts, d[s : s + 1].tobytes(), _pack6(k[s:e])))
-                k, d = keys[head], who[head]
-                part = (k % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                k, d, part = k[order], d[order], part[order]
-                cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-                for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(k)], strict=True):
-                    by = np.argsort(d[s:e], kind="stable")
-                    rows.append((int(part[s]), _planes(d[s:e][by]), _pack6(k[s:e][by])))
-                p, a, b = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["part", "docs", "anchors"])
+                keys, row = pair >> np.uint64(16), (pair & np.uint64(0xFFFF)).astype(np.int64)
+                who = of[x:y][row]
+                content = np.array([xxhash.xxh3_64_intdigest(raw[s:e].data) for s, e in zip(offsets[x:y].tolist(), offsets[x + 1 : y + 1].tolist(), strict=True)], np.uint64)[row]
+                order = np.lexsort((who, content, keys))
+                keys, who, content = keys[order], who[order], content[order]
+                head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                size = np.diff(np.append(head, len(keys)))
+                tail = head + size - 1
+                # contents that meet here are known to be shared: straight to their documents; two contents of them go on
+                mixed_ = content[head] != content[tail]
+                rows: list[tuple] = []
+                several = np.flatnonzero(np.repeat(mixed_, size))
+                by = several[np.argsort(who[several], kind="stable")]
+                for s, e in _groups(who[by]):
+                    rows.append((-1 - int(who[by[s]]) % parts, who[by[s] : by[s] + 1].tobytes(), None, None, _pack6(keys[by[s:e]])))
+                sent_ = np.append(head, tail[mixed_])
+                part = (keys[sent_] % np.uint64(parts)).astype(np.int64)
+                sent_ = sent_[np.lexsort((content[sent_], who[sent_], part))]
+                part = (keys[sent_] % np.uint64(parts)).astype(np.int64)
+                for s, e in _groups(part):
+                    some = sent_[s:e]
+                    first, stop = np.array(_groups(who[some])).T
+                    rows.append((int(part[s]), _planes(who[some[first]]), content[some[first]].tobytes(), (stop - first).astype("<u4").tobytes(), _pack6(keys[some])))
+                kinds = [pa.int64(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "docs", "contents", "counts", "anchors"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        who: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         now = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            if not keys:
+            if not held:
                 return
-            k, d = np.concatenate(keys), np.concatenate(who)
+            k, d, c = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(k, kind="stable")
-            k, d = k[order], d[order]
+            k, d, c = k[order], d[order], c[order]
             head = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-            several = np.repeat(np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head), np.diff(np.append(head, len(k))))
+            several = np.repeat(np.minimum.reduceat(c, head) < np.maximum.reduceat(c, head), np.diff(np.append(head, len(k))))
             k, d = k[several], d[several]
             if not len(k):
                 return
             order = np.argsort(d, kind="stable")
             k, d = k[order], d[order]
-            cut = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+            cut = _groups(d)
             packed = _pack6(k)
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array([packed[6 * s : 6 * e] for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(k)], strict=True)], pa.binary())], names=["key", "anchors"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[[s for s, _ in cut]]), pa.array([packed[6 * s : 6 * e] for s, e in cut], pa.binary())], names=["key", "anchors"])
 
         for batch in batches:
             direct: list[tuple[int, bytes]] = []
-            for part, a, b in zip(*(batch.column(n).to_pylist() for n in ("part", "docs", "anchors")), strict=True):
+            for part, docs_, contents, counts, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part < 0:
-                    direct.append((int(np.frombuffer(a, np.int64)[0]), b))
+                    direct.append((int(np.frombuffer(docs_, np.int64)[0]), packed))
                     continue
                 if part != now:
                     yield from out()
-                    keys, who, now = [], [], part
-                keys.append(_unpack6(b))
-                who.append(_unplanes(a))
+                    held, now = [], part
+                n = np.frombuffer(counts, "<u4")
+                held.append((_unpack6(packed), np.repeat(_unplanes(docs_), n), np.repeat(np.frombuffer(contents, np.uint64), n)))
             if direct:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in direct], pa.int64()), pa.array([x for _, x in direct], pa.binary())], names=["key", "anchors"])
         yield from out()
 
-    sent = docs.mapInArrow(send, "part long, docs binary, anchors binary")
+    sent = docs.mapInArrow(send, "part long, docs binary, contents binary, counts binary, anchors binary")
     return sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, anchors binary")
 
 
-def _candidates(docs: DataFrame, shared: DataFrame, parts: int, span: int) -> DataFrame:
+def _groups(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values."""
+    if not len(sorted_):
+        return []
+    cut = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])).tolist()
+    return list(zip(cut, [*cut[1:], len(sorted_)], strict=True))
+
+
+def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: int, span: int) -> DataFrame:
     """Rows of two kinds, told by part. part >= 0: a task's distinct runs of this part of the anchors. part < 0: a document's runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +376,7 @@ def _candidates(docs: DataFrame, shared: DataFrame, parts: int, span: int) -> Da
                 kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "grp", "key", "ids", "starts", "lengths", "data"])
 
-    by_doc = shared.groupBy("key").agg(F.collect_list("anchors").alias("shared"))
+    by_doc = shared.groupBy("key").agg(F.collect_list("anchors").alias("shared")).join(copies, "key", "left_anti")
     return docs.join(by_doc, "key").mapInArrow(run, "part long, grp long, key long, ids binary, starts binary, lengths binary, data binary")
 
 
@@ -447,17 +460,34 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     spark = docs.sparkSession
     parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.filter(F.col(key).isNotNull() & (F.octet_length(text) >= span)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    runs = written(_candidates(rows, _shared_anchors(rows, parts, span), parts, span), "runs")
+    copies = written(_copies(rows), "copies")
+    runs = written(_candidates(rows, _shared_anchors(rows, parts, span), copies.select("key"), parts, span), "runs")
     _release(spark)
-    found = written(_ranges(runs, _sources(runs, span), span), "removed")
+    whole = copies.select("key", F.concat(_long(F.lit(0)), _long("n")).alias("removed"))
+    found = written(_ranges(runs, _sources(runs, span), span).unionByName(whole), "removed")
     _release(spark)
     return found
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(key, n): texts of n bytes that a smaller key has too, by SHA-256. Only digests move."""
+    own = rows.select("key", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    least = own.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least")
+    return own.join(least, "sha").filter("key > least").select("key", "n").distinct()
+
+
+def _long(n) -> Column:
+    """A long's bytes, least first."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)]))
+
+
 def _release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of what has been written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def _kept(raw: memoryview, packed: bytes | None) -> tuple[list[memoryview], int, int]:
