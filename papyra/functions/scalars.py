@@ -6,24 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of value, with value evaluated once: inside a lambda an expression is otherwise evaluated for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, end, text): code points, half-open. For patterns without empty matches."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+
+    def total(parts: Column, first: Column, n: Column) -> Column:
+        return F.aggregate(F.slice(parts, first + 1, n), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def spans(s: Column) -> Column:
+        steps = F.zip_with(s["found"], s["between"], lambda m, b: (F.length(b) + F.length(m)).cast("long"))
+
+        def by_block(step: Column, size: Column) -> Column:
+            blocks = F.sequence(F.lit(0), F.floor(F.size(s["found"]) / size).cast("int"))
+            sums = F.transform(blocks, lambda j: total(step, j * size, size))
+            return let(sums, lambda t: let(F.transform(blocks, lambda j: total(t, F.lit(0), j)), lambda before: F.transform(s["found"], lambda m, i: span(m, i, step, size, before))))
 
-    def total(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
+        # offsets are summed within blocks of about (2 n)^(1/3) matches, and over blocks
+        return let(steps, lambda step: let(F.ceil(F.cbrt(2 * F.size(s["found"]) + 1)).cast("int"), lambda size: by_block(step, size)))
 
-    def span(m: Column, i: Column) -> Column:
-        start = total(between, i + 1) + total(found, i)
-        return F.struct(start.cast("long").alias("start"), (start + F.length(m)).cast("long").alias("end"), m.alias("text"))
+    def span(m: Column, i: Column, step: Column, size: Column, before: Column) -> Column:
+        block = F.floor(i / size).cast("int")
+        end = F.get(before, block) + total(step, block * size, i % size + 1)
+        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text"))
 
-    return F.transform(found, span)
+    return let(both, spans)
 
 
 def luhn(number: Column) -> Column:
     """13 to 19 digits with a right check digit; only spaces and hyphens may stand between."""
     bare = F.regexp_replace(number, "[ -]", "")
-    return F.coalesce(bare.rlike("^[0-9]{13,19}$") & F.luhn_check(bare), F.lit(False))
+    return F.coalesce(bare.rlike("^[0-9]{13,19}$") & F.call_function("luhn_check", bare), F.lit(False))
 
 
 def truthy(value: Column) -> Column:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.scalars import hamming
+from papyra.functions.scalars import hamming, let
 
 WORDS_A_MINUTE = 250
 
@@ -48,7 +48,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def average_hash(values: Column) -> Column:
     """64 values as a long: bit i is set where value i is at least the mean."""
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(values)
-    indexed = F.transform(values, lambda x, i: F.when(x.cast("double") >= mean, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    indexed = let(mean, lambda m: F.transform(values, lambda x, i: F.when(x.cast("double") >= m, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     return F.aggregate(indexed, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 

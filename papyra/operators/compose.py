@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PAPERS = {"A0": (2384, 3370), "A1": (1684, 2384), "A2": (1191, 1684), "A3": (842, 1191), "A4": (595, 842), "A5": (420, 595), "LETTER": (612, 792), "LEGAL": (612, 1008), "TABLOID": (792, 1224)}
+#: Ranges of documents whose page counts are summed apart.
+BUCKETS = 128
 POSITIONS = [f"{v}_{h}" for v in ("TOP", "MIDDLE", "BOTTOM") for h in ("LEFT", "CENTER", "RIGHT")]
 
 
@@ -34,11 +36,20 @@ def extract_range(pages: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def merge(pages: DataFrame, by: str = "doc_id", group: Column | None = None) -> DataFrame:
-    """All documents of a group one after the other, in the order of by: new_index by the documents' page counts, so that no
-    group's pages meet in one task."""
+    """All documents of a group one after the other, in the order of by (a number): new_index.
+
+    Page counts are summed within BUCKETS ranges of by, and over ranges, so that no group's documents meet in one task. The
+    ranges' bounds are quantiles; where they lie changes only who sums what.
+    """
     keyed = pages.withColumn("__g", group if group is not None else F.lit(0))
     sizes = keyed.groupBy("__g", by).agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.partitionBy("__g").orderBy(by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    bounds = pages.approxQuantile(by, [i / BUCKETS for i in range(1, BUCKETS)], 0.2 / BUCKETS)
+    edges = F.array(*[F.lit(int(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
+    sizes = sizes.withColumn("__b", F.size(F.filter(edges, lambda b: b <= F.col(by))))
+    above = W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # over BUCKETS rows at most
+    inside = W.partitionBy("__g", "__b").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.groupBy("__g", "__b").agg(F.sum("__n").alias("__all")).select("__g", "__b", F.coalesce(F.sum("__all").over(above), F.lit(0)).alias("__offset"))
+    before = sizes.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(offsets, ["__g", "__b"]).select("__g", by, (F.col("__offset") + F.col("__in")).alias("__before"))
     return keyed.join(before, ["__g", by]).withColumn("new_index", (F.col("__before") + F.col("page_index")).cast("long")).drop("__g", "__before")
 
 

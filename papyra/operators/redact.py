@@ -18,7 +18,11 @@ PRONOUNS = ("he", "she", "they", "him", "her", "them", "his", "hers", "their", "
 def matches(docs: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, category, start, end, text): all matches; cards only with a right check digit. Narrow: one pass, no join."""
     categories = categories or PATTERNS
-    each = [F.transform(match_spans(F.col("text"), p), lambda s, k=k: F.struct(F.lit(k).alias("category"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text"))) for k, p in categories.items()]
+
+    def under(category: str, pattern: str) -> Column:
+        return F.transform(match_spans(F.col("text"), pattern), lambda s: F.struct(F.lit(category).alias("category"), s.start.alias("start"), s.end.alias("end"), s.text.alias("text")))
+
+    each = [under(k, p) for k, p in categories.items()]
     rows = docs.select("doc_id", F.explode(F.flatten(F.array(*each))).alias("m")).select("doc_id", "m.*")
     return rows.filter((F.col("category") != "credit_card") | luhn(F.col("text")))
 

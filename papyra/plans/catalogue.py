@@ -188,7 +188,7 @@ def hash_clusters(spark, sf_dir):
     return analytics.leader_clusters(keyed.select("group", "id", "hash"))
 
 
-@register("human_sizes", "SELECT doc_id, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024) ELSE format('{:.1f} MB', b / 1048576) END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)")
+@register("human_sizes", "SELECT doc_id, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', round(b / 1024, 1)) ELSE format('{:.1f} MB', round(b / 1048576, 1)) END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)")
 def human_sizes(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", scalars.human_size(F.octet_length("text")).alias("size"))
 
