@@ -43,7 +43,7 @@ from papyra.llm.common import blocks, expand, table, written
 SPAN = 50
 KGRAM = 20
 #: Bytes of text whose anchors are found together, and whose runs are told apart together.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 GROUP = 1 << 23
 PARTS = 3
 BASE = 0x9E3779B97F4A7C15
@@ -250,7 +250,7 @@ def _shared_anchors(docs: DataFrame, parts: int, span: int) -> DataFrame:
         for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             raw, offsets = _texts(batch, "text")
             of = batch.column("key").to_numpy()
-            for x, y in blocks(np.diff(offsets).tolist(), 4 * GROUP):
+            for x, y in blocks(np.diff(offsets).tolist(), 2 * GROUP):
                 found = [(k & ~np.uint64(0xFFFF)) | r.astype(np.uint64) for k, r, _, _ in _runs(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], span)]
                 pair = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
                 if not len(pair):
