@@ -6,7 +6,7 @@ before they move, neighbouring diagonals (insertions or deletions of up to GAP w
 verified where the k-grams themselves, not only their hashes, agree for at least COVERAGE of the template's k-grams.
 
 Base labels are places of whole phrases. Defined results: null and empty texts have no words, no labels and score 0; the
-score is the best verified coverage, or 1 where a base phrase stands; repeated doc_ids keep a row each with what both found.
+score is the best verified coverage, or 1 where a base phrase stands; every row is judged alone, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from papyra.llm.common import table
+from papyra.llm.common import table, written
 
 K = 4
 GAP = 3
@@ -59,34 +59,43 @@ def _places(w: Column, phrase: str, label: str) -> Column:
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    rows = [(name, label, i, " ".join(w[i : i + K]), len(w) - K + 1) for name, label, text in TEMPLATES for w in [text.split()] for i in range(len(w) - K + 1)]
-    return spark.createDataFrame(rows, "template string, label string, t int, gram string, grams int").withColumn("h", F.xxhash64("gram"))
-
-
-def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, template, label, first, last, coverage): verified spans in words."""
-    tokens = docs.filter(F.col("text").isNotNull()).select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= K)
-    gram = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.concat_ws(" ", *[F.get(F.col("w"), i + j) for j in range(K)]))
-    rolled = tokens.select("doc_id", F.posexplode(gram).alias("p", "gram")).withColumn("h", F.xxhash64("gram"))
-    templates = template_grams(docs.sparkSession)
-    hits = rolled.join(F.broadcast(templates.withColumnRenamed("gram", "known")), "h").filter(F.col("gram") == F.col("known"))
-    votes = hits.groupBy("doc_id", "template", "label", "grams", (F.col("p") - F.col("t")).alias("d")).agg(F.count("*").alias("n"), F.min("p").alias("a"), F.max("p").alias("b"), F.collect_set("t").alias("ts"))
-    order = W.partitionBy("doc_id", "template").orderBy("d")
+    rows = [(name, label, i, *w[i : i + K], len(w) - K + 1) for name, label, text in TEMPLATES for w in [text.split()] for i in range(len(w) - K + 1)]
+    grams = spark.createDataFrame(rows, f"template string, label string, t int, {', '.join(f'w{j} string' for j in range(K))}, grams int")
+    return grams.select("template", "label", "t", "grams", F.xxhash64(*[f"w{j}" for j in range(K)]).alias("h"), F.concat_ws(" ", *[f"w{j}" for j in range(K)]).alias("known"))
+
+
+def tokens(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, n_words, at, grams), written: base phrases' places, and the rolling k-grams whose hash some template has.
+
+    Every text is cut into words once. Testing a hash against the templates' few here, and not after a join of all k-grams,
+    leaves the same rows for the join.
+    """
+    known = [F.xxhash64(*map(F.lit, w[i : i + K])) for _, _, text in TEMPLATES for w in [text.split()] for i in range(len(w) - K + 1)]
+    gram = lambda i: [F.get(F.col("w"), i + j) for j in range(K)]
+    here = F.filter(F.sequence(F.lit(0), F.greatest(F.size("w") - K, F.lit(0))), lambda i: F.xxhash64(*gram(i)).isin(*known))
+    grams = F.transform(here, lambda i: F.struct(i.alias("p"), F.xxhash64(*gram(i)).alias("h"), F.concat_ws(" ", *gram(i)).alias("gram")))
+    none = F.array().cast("array<struct<start:bigint,label:string>>")
+    at = F.when(F.array_contains("w", "license"), F.concat(*[_places(F.col("w"), p, label) for p, label in PHRASES])).otherwise(none)
+    cut = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
+    return written(cut.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), at.alias("at"), grams.alias("grams")), "license-words")
+
+
+def spans(cut: DataFrame) -> DataFrame:
+    """(row, template, label, first, last, coverage): verified spans in words, of tokens()."""
+    rolled = cut.select("row", F.inline("grams"))
+    hits = rolled.join(F.broadcast(template_grams(cut.sparkSession)), "h").filter(F.col("gram") == F.col("known"))
+    votes = hits.groupBy("row", "template", "label", "grams", (F.col("p") - F.col("t")).alias("d")).agg(F.min("p").alias("a"), F.max("p").alias("b"), F.collect_set("t").alias("ts"))
+    order = W.partitionBy("row", "template").orderBy("d")
     fresh = F.coalesce((F.col("d") - F.lag("d").over(order) > GAP).cast("int"), F.lit(1))
     island = votes.withColumn("new", fresh).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    merged = island.groupBy("doc_id", "template", "label", "grams", "island").agg(F.min("a").alias("first"), (F.max("b") + K - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("seen"))
-    return merged.select("doc_id", "template", "label", "first", "last", (F.col("seen") / F.col("grams")).alias("coverage")).filter(F.col("coverage") >= COVERAGE)
+    merged = island.groupBy("row", "template", "label", "grams", "island").agg(F.min("a").alias("first"), (F.max("b") + K - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("ts")))).alias("seen"))
+    return merged.select("row", "template", "label", "first", "last", (F.col("seen") / F.col("grams")).alias("coverage")).filter(F.col("coverage") >= COVERAGE)
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    found = spans(docs).groupBy("doc_id").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("best"))
-    none = F.array().cast("array<struct<start:bigint,label:string>>")
-    listed = docs.select("doc_id", words(F.col("text")).alias("w")).select(
-        "doc_id",
-        F.size("w").cast("long").alias("n_words"),
-        F.when(F.array_contains("w", "license"), F.concat(*[_places(F.col("w"), p, label) for p, label in PHRASES])).otherwise(none).alias("at"),
-    )
-    joined = listed.join(found, "doc_id", "left")
+    cut = tokens(docs)
+    found = spans(cut).groupBy("row").agg(F.collect_set("label").alias("voted"), F.max("coverage").alias("best"))
+    joined = cut.drop("grams").join(found, "row", "left")
     base = F.array_sort(F.array_distinct(F.col("at").getField("label")))
     everything = F.array_sort(F.array_union(base, F.coalesce("voted", F.array().cast("array<string>"))))
     score = F.when(F.size("at") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
