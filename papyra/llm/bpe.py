@@ -312,7 +312,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
     from pyspark.sql import types as T
 
     schema = T.StructType([f for f in docs.schema if f.name not in (ids, decoded)])
-    names = schema.names
+    names = list(schema.names)
     schema = schema.add(ids, T.ArrayType(T.IntegerType()))
     if decoded:
         schema = schema.add(decoded, T.StringType())
