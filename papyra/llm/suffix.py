@@ -470,9 +470,12 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(key, n): texts of n bytes that a smaller key has too, by SHA-256. Only digests move."""
+    """(key, n): texts of n bytes that a smaller key has too, by SHA-256. Only digests move.
+
+    The groups are written before they meet the rows, so that Spark can split the rows of a digest that many share.
+    """
     own = rows.select("key", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-    least = own.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least")
+    least = written(own.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least"), "groups")
     return own.join(least, "sha").filter("key > least").select("key", "n").distinct()
 
 
