@@ -39,6 +39,23 @@ def op1(docs: list[tuple], span: int = 50) -> dict:
     return out
 
 
+def kept(docs: list[tuple], span: int = 50) -> dict:
+    """{doc_id: remaining bytes}, by the rule of op1."""
+    first: dict[bytes, int] = {}
+    raws = {k: (t or "").encode() for k, t in docs}
+    for k in sorted(raws):
+        for i in range(len(raws[k]) - span + 1):
+            first.setdefault(raws[k][i : i + span], k)
+    out = {}
+    for k, r in raws.items():
+        gone = bytearray(len(r))
+        for i in range(len(r) - span + 1):
+            if first[r[i : i + span]] < k:
+                gone[i : i + span] = b"\1" * span
+        out[k] = bytes(b for b, g in zip(r, gone) if not g)
+    return out
+
+
 def fingerprint(text: str | None) -> int:
     w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
     grams = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or ([" ".join(w)] if w else [])

@@ -45,17 +45,19 @@ def test_stages(run):
     groups = brute.op6([(k, r.text) for k, r in said.items()])
     assert set(unique) == {k for k, (_, least) in groups.items() if least == k}
 
-    removed = brute.op1([(k, r.text) for k, r in unique.items()])
-    for k, (n, gone, _, digest) in removed.items():
-        if k in cut and cut[k].text.isascii():
-            assert brute.sha(cut[k].text.encode()) == digest
-        if not gone:
-            assert cut[k].text == unique[k].text
-        assert k in cut or gone == n or not cut.get(k)
-        if k in cut:
-            assert cut[k].n_chars == len(cut[k].text)
+    left = brute.kept([(k, r.text) for k, r in unique.items()])
+    for k, raw in left.items():
+        text = raw.decode(errors="ignore")
+        if raw == unique[k].text.encode():
+            assert cut[k] == unique[k]
+        elif text.strip():
+            assert cut[k].text == text and cut[k].n_chars == len(text)
+        else:
+            assert k not in cut
+    assert set(cut) <= set(unique)
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.item_id is not None]
+    scanner = decontaminate.Scanner(items)
     hits = brute.op9([(k, r.text) for k, r in cut.items()], items)
     for k, (n, hit, *_) in hits.items():
         if not hit:
@@ -63,7 +65,12 @@ def test_stages(run):
         elif hit > decontaminate.MAX_COVERAGE * n:
             assert k not in clean
         else:
-            assert len(decontaminate.words(clean[k].text)) == n - hit or clean[k].n_chars < cut[k].n_chars
+            w = decontaminate.words(cut[k].text)
+            spans, _ = scanner.scan(w)
+            assert sum(e - s for s, e in spans) == hit
+            assert clean[k].text == decontaminate.remove_words(cut[k].text, spans) and clean[k].n_chars == len(clean[k].text)
+            rest = [x for i, x in enumerate(w) if not any(s <= i < e for s, e in spans)]
+            assert b"".join(decontaminate.words(clean[k].text)) == b"".join(rest)
 
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
