@@ -66,20 +66,17 @@ def hash_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
 
 
 def leader_clusters(hashes: DataFrame, distance: int = 5) -> DataFrame:
-    """(group, id, hash) with leader and distance: within a group (a document's pages), in the order of id, each joins the nearest earlier leader
+    """(group, id, hash) with leader and distance: within a group (a document's pages), in the order of id, each joins the first leader
     within the distance, or leads."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         leaders: list[tuple[int, int]] = []
         out = []
         for g, i, h in group.sort_values("id")[["group", "id", "hash"]].itertuples(index=False, name=None):
-            near = [((h ^ x) & (1 << 64) - 1).bit_count() for _, x in leaders]
-            best = min(range(len(near)), key=near.__getitem__, default=None)
-            if best is None or near[best] > distance:
+            leader, apart = next(((j, n) for j, x in leaders if (n := ((h ^ x) & (1 << 64) - 1).bit_count()) <= distance), (i, 0))
+            if leader == i:
                 leaders.append((i, h))
-                out.append((g, i, i, 0))
-            else:
-                out.append((g, i, leaders[best][0], near[best]))
+            out.append((g, i, leader, apart))
         return pd.DataFrame(out, columns=["group", "id", "leader", "distance"])
 
     return hashes.groupBy("group").applyInPandas(run, "group long, id long, leader long, distance int")

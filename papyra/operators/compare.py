@@ -18,8 +18,9 @@ def page_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("doc_id", "page_index", kind.alias("kind"), "old", "new").filter("kind is not null")
 
 
-def line_script(a: list[str], b: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Edits from a longest common subsequence of lines; ties prefer insertions; a deletion before an insertion is a modification."""
+def line_script(a: list[str], b: list[str]) -> list[tuple[str, str, str]]:
+    """Edits from a longest common subsequence of lines; ties prefer insertions; a deletion and the insertion that is the
+    next edit, even past common lines, are one modification. The side that an edit lacks is an empty text."""
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i, x in enumerate(a, 1):
         for j, y in enumerate(b, 1):
@@ -28,19 +29,16 @@ def line_script(a: list[str], b: list[str]) -> list[tuple[str, str | None, str |
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
-            back.append(None)
         elif j and (not i or table[i, j - 1] >= table[i - 1, j]):
             j -= 1
-            back.append(("INSERTION", None, b[j]))
+            back.append(("INSERTION", "", b[j]))
         else:
             i -= 1
-            back.append(("DELETION", a[i], None))
-    out: list[tuple[str, str | None, str | None]] = []
+            back.append(("DELETION", a[i], ""))
+    out: list[tuple[str, str, str]] = []
     joinable = False
     for step in reversed(back):
-        if step is None:
-            joinable = False
-        elif step[0] == "INSERTION" and joinable:
+        if step[0] == "INSERTION" and joinable:
             out[-1] = ("MODIFICATION", out[-1][1], step[2])
             joinable = False
         else:

@@ -70,8 +70,9 @@ def reorder(pages: DataFrame, order: list[int]) -> DataFrame:
 
 
 def swap(pages: DataFrame, a: int, b: int) -> DataFrame:
-    i = F.col("page_index")
-    return pages.withColumn("new_index", F.when(i == a, b).when(i == b, a).otherwise(i))
+    """Pages a and b change places; documents without both stay as they are."""
+    i, both = F.col("page_index"), F.col("n_pages") > max(a, b)
+    return with_count(pages).withColumn("new_index", F.when(both & (i == a), b).when(both & (i == b), a).otherwise(i)).drop("n_pages")
 
 
 def move_range(pages: DataFrame, first: int, last: int, to: int) -> DataFrame:
@@ -127,10 +128,9 @@ def fit(width: Column, height: Column, paper: tuple[float, float], mode: str) ->
     return {"scale_x": x, "scale_y": y, "offset_x": (paper[0] - width * x) / 2, "offset_y": (paper[1] - height * y) / 2}
 
 
-def margins(left: float, bottom: float, right: float, top: float, binding: float = 0.0) -> dict[str, Column]:
-    """New boxes of pages (width, height, page_index): binding is added on the inner side of odd and even pages."""
-    inner_left = F.when(F.col("page_index") % 2 == 0, F.lit(binding)).otherwise(F.lit(0.0))
-    return {"left": -(F.lit(left) + inner_left), "bottom": F.lit(-bottom), "right": F.col("width") + right + (F.lit(binding) - inner_left), "top": F.col("height") + top}
+def margins(left: float, bottom: float, right: float, top: float) -> dict[str, Column]:
+    """New sizes of pages (width, height), and how far their content moves. A binding margin is one on the left."""
+    return {"width": F.col("width") + left + right, "height": F.col("height") + bottom + top, "shift_x": F.lit(float(left)), "shift_y": F.lit(float(bottom))}
 
 
 def two_up_split(pages: DataFrame, right_to_left: bool = False) -> DataFrame:

@@ -15,17 +15,19 @@ def blank_pages(pages: DataFrame) -> DataFrame:
 
 
 def gutters(chars: DataFrame, width: int = layout.WIDTH, threshold: float = 20.0) -> DataFrame:
-    """(doc_id, page_index, start, end): inner stretches of a page without a character's centre, wider than the threshold.
+    """(doc_id, page_index, start, end): stretches before a character without a character's centre, at least as wide as the
+    threshold, whose middle is further than it from the page's edges. So a wide left margin counts, the right one does not.
 
     Bins are half as many as points. Only occupied bins are kept, so gaps are differences of neighbours, not a join with all
     bins.
     """
     bins = int(width / 2)
     size = width / bins
-    own = chars.filter("unicode > 32").select("doc_id", "page_index", F.floor((F.col("x") + layout.CELL / 2) / size).cast("int").alias("bin")).distinct()
-    gaps = own.withColumn("next", F.lead("bin").over(W.partitionBy("doc_id", "page_index").orderBy("bin"))).filter("next is not null and next > bin + 1")
-    gaps = gaps.select("doc_id", "page_index", ((F.col("bin") + 1) * size).alias("start"), (F.col("next") * size).alias("end"))
-    return gaps.filter((F.col("end") - F.col("start") > threshold) & (F.col("start") >= threshold) & (F.col("end") <= width - threshold))
+    own = chars.filter("unicode > 32").select("doc_id", "page_index", F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("x") + layout.CELL / 2) / size).cast("int"))).alias("bin")).distinct()
+    before = F.lag("bin", 1, -1).over(W.partitionBy("doc_id", "page_index").orderBy("bin"))
+    gaps = own.withColumn("before", before).select("doc_id", "page_index", ((F.col("before") + 1) * size).alias("start"), (F.col("bin") * size).alias("end"))
+    middle = (F.col("start") + F.col("end")) / 2
+    return gaps.filter((F.col("end") - F.col("start") >= threshold) & (middle > threshold) & (middle < width - threshold))
 
 
 def headings(lines: DataFrame, min_size: float = 14.0) -> DataFrame:
@@ -36,15 +38,15 @@ def contents(headings: DataFrame, per_document: int = 42) -> DataFrame:
     """Lines of a table of contents: titles of at most 60 characters, dot leaders up to 70, page numbers past the contents page."""
     w = W.partitionBy("doc_id").orderBy("page_index", "line_index")
     short = F.when(F.length("title") > 60, F.concat(F.substring("title", 1, 57), F.lit("..."))).otherwise(F.col("title"))
-    listed = headings.withColumn("entry", F.row_number().over(w)).filter(F.col("entry") <= per_document).withColumn("short", short)
-    return listed.select("doc_id", "entry", F.concat("short", F.lit(" "), F.expr("repeat('.', greatest(1, 70 - length(short)))"), F.lit(" "), (F.col("page_index") + 2).cast("string")).alias("line"))
+    listed = headings.withColumn("entry", F.row_number().over(w)).filter(F.col("entry") <= per_document).withColumns({"short": short, "number": (F.col("page_index") + 2).cast("string")})
+    return listed.select("doc_id", "entry", F.concat("short", F.lit(" "), F.expr("repeat('.', greatest(1, 70 - length(short) - length(number)))"), F.lit(" "), "number").alias("line"))
 
 
 def tags(words: DataFrame) -> DataFrame:
-    """(doc_id, line_index, tag): H1, H2, H3 by the line's font against the document's upper median word font; else P."""
-    median = words.groupBy("doc_id").agg(F.array_sort(F.collect_list("font_size")).alias("sizes")).select("doc_id", F.element_at("sizes", (F.size("sizes") / 2).cast("int") + 1).alias("median"))
+    """(doc_id, line_index, tag): H1, H2, H3 by the line's font against its page's upper median word font; else P."""
+    median = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list("font_size")).alias("sizes")).select("doc_id", "page_index", F.element_at("sizes", (F.size("sizes") / 2).cast("int") + 1).alias("median"))
     ratio = F.col("size") / F.col("median")
-    by_line = words.groupBy("doc_id", "line_index").agg(F.max("font_size").alias("size")).join(median, "doc_id")
+    by_line = words.groupBy("doc_id", "page_index", "line_index").agg(F.max("font_size").alias("size")).join(median, ["doc_id", "page_index"])
     return by_line.select("doc_id", "line_index", F.when(ratio >= 2.0, "H1").when(ratio >= 1.6, "H2").when(ratio >= 1.3, "H3").otherwise("P").alias("tag"))
 
 
@@ -73,20 +75,20 @@ def tables(words: DataFrame) -> DataFrame:
                     rows.append([])
                 rows[-1].append(w)
                 before = w[0]
-            starts: list[float] = []
-            for x in sorted(page["x"]):
-                if not starts or x - starts[-1] > gap:
+            edges = sorted(page["x"])
+            starts = edges[:1]
+            for last, x in zip(edges, edges[1:], strict=False):
+                if x - last > gap and x - starts[-1] > 0.5 * gap:
                     starts.append(x)
-            starts = [s for i, s in enumerate(starts) if i == 0 or s - starts[i - 1] >= 0.5 * gap]
             ends = [*starts[1:], float("inf")]
-            if len(starts) >= 2:
+            if len(rows) >= 2 and len(starts) >= 2:
                 for r in rows:
                     cells = [""] * len(starts)
-                    for _, x, width, text in sorted(r, key=lambda w: w[1]):
+                    for _, x, width, text in r:
                         centre = x + width / 2
                         c = next((i for i, (s, e) in enumerate(zip(starts, ends, strict=True)) if s <= centre < e), None)
                         if c is None:
-                            c = min(range(len(starts)), key=lambda i: abs(starts[i] - centre))
+                            c = min(range(len(starts)), key=lambda i: abs((starts[i] + ends[i]) / 2 - centre))
                         cells[c] = f"{cells[c]} {text}".strip()
                     if sum(map(bool, cells)) >= 2:
                         out.append((doc, number, len(out), cells))
@@ -102,18 +104,21 @@ def reading_order(lines: DataFrame, width: float = layout.WIDTH, height: float =
     def run(page: pd.DataFrame) -> pd.DataFrame:
         blocks: list[dict] = []
         for r in sorted(page.to_dict("records"), key=lambda r: -r["y"]):
+            if not r["text"].strip():
+                continue
             right = r["x"] + r["width"]
             b = blocks[-1] if blocks else None
-            if b and b["y"] - (r["y"] + r["height"]) < 2 * r["height"] and (abs(b["x"] - r["x"]) <= 30 or abs(b["right"] - right) <= 30):
-                b |= {"x": min(b["x"], r["x"]), "y": min(b["y"], r["y"]), "right": max(b["right"], right), "n": b["n"] + 1, "text": b["text"] + "\n" + r["text"]}
+            if b and b["last"] - r["y"] < 2 * r["height"] and (abs(b["x"] - r["x"]) < 30 or abs(b["right"] - right) < 30):
+                b |= {"x": min(b["x"], r["x"]), "y": min(b["y"], r["y"]), "last": r["y"], "top": max(b["top"], r["y"] + r["height"]), "right": max(b["right"], right), "n": b["n"] + 1, "text": b["text"] + "\n" + r["text"]}
             else:
-                blocks.append({"x": r["x"], "y": r["y"], "top": r["y"] + r["height"], "right": right, "n": 1, "text": r["text"]})
+                blocks.append({"x": r["x"], "y": r["y"], "last": r["y"], "top": r["y"] + r["height"], "right": right, "n": 1, "text": r["text"]})
         for b in blocks:
             wide = b["right"] - b["x"]
-            narrow_side = wide < 0.3 * width and (b["x"] > 0.7 * width or b["right"] < 0.3 * width)
-            b["kind"] = "HEADER" if b["y"] > 0.9 * height else "FOOTNOTE" if b["top"] < 0.1 * height else "SIDEBAR" if narrow_side else "CAPTION" if b["n"] <= 2 and wide < 0.5 * width else "BODY"
+            across, up = (b["x"] + b["right"]) / 2, (b["y"] + b["top"]) / 2
+            narrow_side = wide < 0.3 * width and not 0.2 * width <= across <= 0.8 * width
+            b["kind"] = "HEADER" if up > 0.9 * height else "FOOTNOTE" if up < 0.1 * height else "SIDEBAR" if narrow_side else "CAPTION" if b["n"] <= 2 and wide < 0.5 * width else "BODY"
         blocks.sort(key=lambda b: (kinds.index(b["kind"]), -b["y"], b["x"]))
         first = page.iloc[0]
-        return pd.DataFrame([(first["doc_id"], first["page_index"], i, b["kind"], b["text"]) for i, b in enumerate(blocks)], columns=["doc_id", "page_index", "ord", "kind", "text"])
+        return pd.DataFrame([(first["doc_id"], first["page_index"], i, b["kind"], b["text"].strip()) for i, b in enumerate(blocks)], columns=["doc_id", "page_index", "ord", "kind", "text"])
 
     return lines.groupBy("doc_id", "page_index").applyInPandas(run, "doc_id long, page_index int, ord int, kind string, text string")

@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from papyra.functions.patterns import PATTERNS, escaped, select
 from papyra.functions.scalars import luhn, match_spans
 
-#: Pronouns in order; the first that a sentence contains, as a substring, is its detail.
-PRONOUNS = ("he", "she", "they", "him", "her", "them", "his", "hers", "their", "theirs", "it", "its")
+#: Fixed values, in order; the first that a sentence contains, as a substring, is its detail.
+PRONOUNS = (
+    "he", "she", "they", "him", "her", "them", "his", "their",
+    "the patient", "the client", "the employee", "the applicant", "the individual", "the person", "the subject",
+)
 
 
 def matches(docs: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:

@@ -106,9 +106,9 @@ def crop_uniform(spark, sf_dir):
 
 @register(
     "column_gutters",
-    f"""WITH {WORDS}, bins AS (SELECT DISTINCT doc_id, page_index, floor((x + 6 * (j - 1) + 3) / 2.0)::INT AS bin FROM (SELECT *, unnest(range(1, length(text) + 1)) AS j FROM words)),
-    gaps AS (SELECT *, lead(bin) OVER (PARTITION BY doc_id, page_index ORDER BY bin) AS nxt FROM bins)
-    SELECT doc_id, page_index, (bin + 1) * 2.0::DOUBLE AS start, nxt * 2.0::DOUBLE AS "end" FROM gaps WHERE nxt > bin + 1 AND (nxt - bin - 1) * 2 > 20 AND (bin + 1) * 2 >= 20 AND nxt * 2 <= 592""",
+    f"""WITH {WORDS}, bins AS (SELECT DISTINCT doc_id, page_index, greatest(0, least(305, floor((x + 6 * (j - 1) + 3) / 2.0)::INT)) AS bin FROM (SELECT *, unnest(range(1, length(text) + 1)) AS j FROM words)),
+    gaps AS (SELECT *, lag(bin, 1, -1) OVER (PARTITION BY doc_id, page_index ORDER BY bin) + 1 AS first FROM bins)
+    SELECT doc_id, page_index, first * 2.0::DOUBLE AS start, bin * 2.0::DOUBLE AS "end" FROM gaps WHERE (bin - first) * 2 >= 20 AND first + bin > 20 AND first + bin < 592""",
 )
 def column_gutters(spark, sf_dir):
     return detect.gutters(layout.chars(docs(spark, sf_dir)))
@@ -119,12 +119,12 @@ def toc_headings(spark, sf_dir):
     return detect.headings(layout.lines(docs(spark, sf_dir))).select("doc_id", "page_index", "title")
 
 
-@register("toc_layout", f"WITH {LINES}, h AS (SELECT doc_id, trim(text, ' ') AS t FROM lines WHERE line_index = 0 AND length(trim(text, ' ')) > 1), s AS (SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:57] || '...' ELSE t END AS t FROM h) SELECT doc_id, t || ' ' || repeat('.', greatest(1, 70 - length(t))) || ' 2' AS line FROM s")
+@register("toc_layout", f"WITH {LINES}, h AS (SELECT doc_id, trim(text, ' ') AS t FROM lines WHERE line_index = 0 AND length(trim(text, ' ')) > 1), s AS (SELECT doc_id, CASE WHEN length(t) > 60 THEN t[1:57] || '...' ELSE t END AS t FROM h) SELECT doc_id, t || ' ' || repeat('.', greatest(1, 70 - length(t) - 1)) || ' 2' AS line FROM s")
 def toc_layout(spark, sf_dir):
     return detect.contents(detect.headings(layout.lines(docs(spark, sf_dir)))).select("doc_id", "line")
 
 
-@register("structure_tags", f"WITH {WORDS}, f AS (SELECT *, CASE WHEN line_index = 0 THEN 18 ELSE 12 END AS size FROM words), m AS (SELECT doc_id, list_sort(list(size))[(count(*) // 2 + 1)::INT] AS med FROM f GROUP BY doc_id), l AS (SELECT DISTINCT doc_id, line_index, size FROM f) SELECT doc_id, line_index, CASE WHEN size / med >= 2 THEN 'H1' WHEN size / med >= 1.6 THEN 'H2' WHEN size / med >= 1.3 THEN 'H3' ELSE 'P' END AS tag FROM l JOIN m USING (doc_id)")
+@register("structure_tags", f"WITH {WORDS}, f AS (SELECT *, CASE WHEN line_index = 0 THEN 18 ELSE 12 END AS size FROM words), m AS (SELECT doc_id, page_index, list_sort(list(size))[(count(*) // 2 + 1)::INT] AS med FROM f GROUP BY ALL), l AS (SELECT DISTINCT doc_id, page_index, line_index, size FROM f) SELECT doc_id, line_index, CASE WHEN size / med >= 2 THEN 'H1' WHEN size / med >= 1.6 THEN 'H2' WHEN size / med >= 1.3 THEN 'H3' ELSE 'P' END AS tag FROM l JOIN m USING (doc_id, page_index)")
 def structure_tags(spark, sf_dir):
     return detect.tags(layout.words(docs(spark, sf_dir)))
 
@@ -326,10 +326,9 @@ def two_up_split(spark, sf_dir):
     return compose.two_up_split(sheets(spark, sf_dir)).drop("width", "height")
 
 
-@register("binding_margins", f"WITH {SHEETS} SELECT doc_id, page_index, -(10.0 + CASE WHEN page_index % 2 = 0 THEN 20.0 ELSE 0.0 END)::DOUBLE AS \"left\", width + 10 + 20 - CASE WHEN page_index % 2 = 0 THEN 20.0 ELSE 0.0 END AS \"right\" FROM sheets")
+@register("binding_margins", f"WITH {SHEETS} SELECT doc_id, page_index, width + 20 AS width, height, 20.0::DOUBLE AS shift_x, 0.0::DOUBLE AS shift_y FROM sheets")
 def binding_margins(spark, sf_dir):
-    m = compose.margins(10, 10, 10, 10, 20.0)
-    return sheets(spark, sf_dir).select("doc_id", "page_index", m["left"].alias("left"), m["right"].alias("right"))
+    return sheets(spark, sf_dir).select("doc_id", "page_index", *[c.alias(k) for k, c in compose.margins(20, 0, 0, 0).items()])
 
 
 @register("bates_numbers", f"WITH {PAGES}, m AS (SELECT doc_id, page_index, row_number() OVER (ORDER BY doc_id, page_index) AS i FROM pages_) SELECT doc_id, page_index, 'DOC-' || CASE WHEN length(i::VARCHAR) >= 6 THEN i::VARCHAR ELSE lpad(i::VARCHAR, 6, '0') END AS bates FROM m")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import scalars
 from papyra.operators import analytics, compose, detect, layout, objects, redact, web
-from papyra.plans.catalogue import PAGES, SHEETS, docs, page_numbers, register, sheets
+from papyra.plans.catalogue import NPAGES, PAGES, SHEETS, docs, page_numbers, register, sheets
 from papyra.sources import files
 
 TYPES = ["TEXT", "LINK", "HIGHLIGHT", "WIDGET"]
@@ -165,7 +165,7 @@ def extract_range(spark, sf_dir):
     return compose.extract_range(page_numbers(spark, sf_dir), 1, 2)
 
 
-@register("swap_pages", f"WITH {PAGES} SELECT doc_id, page_index, CASE page_index WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE page_index END::INT AS new_index FROM pages_")
+@register("swap_pages", f"WITH {NPAGES} SELECT doc_id, page_index, CASE WHEN n < 2 THEN page_index WHEN page_index = 0 THEN 1 WHEN page_index = 1 THEN 0 ELSE page_index END::INT AS new_index FROM np")
 def swap_pages(spark, sf_dir):
     return compose.swap(page_numbers(spark, sf_dir), 0, 1)
 
