@@ -4,8 +4,10 @@ Words are the ASCII-lower-cased runs of letters, digits and non-ASCII characters
 is streamed over each document; the state and the longest matching length tell at every word which windows end there. Only
 runs of words that occur in some item are streamed: any other word resets the automaton.
 
-Items are a stated query set: they are held in blocks of at most BLOCK_WORDS words, each with its own automaton, and every
-document is run against every block, so memory stays bounded however long the benchmark is.
+Items are a stated query set, and every document is run against all of it. Its size is measured first. Up to ITEM_BYTES it is
+broadcast whole, its automata built in blocks of BLOCK_WORDS words; a larger set is dealt into parts of about that size, one
+pass over the documents each, with what was found so far written in between. So neither the driver nor a worker ever holds
+more than a part, however long the benchmark is.
 
 Defined results: null or empty texts have no words and no hits; items without words have no windows; repeated items all
 count; null item ids are skipped.
@@ -14,16 +16,21 @@ count; null item ids are skipped.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from papyra.llm.common import table
+from papyra.llm.common import table, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
+#: Of items in one pass: what is collected and broadcast at once.
+ITEM_BYTES = 16 << 20
 #: A document whose hit words exceed this share is dropped whole by `clean`; below it the hit words' spans are cut out.
 MAX_COVERAGE = 0.5
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -150,18 +157,22 @@ class Scanner:
         found: set = set()
         for a in self.automata:
             a.scan(tokens, spans, found)
-        merged: list[tuple[int, int]] = []
-        for s, e in sorted(spans):
-            if merged and s <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
-            else:
-                merged.append((s, e))
-        return merged, found
-
-
-def _scanner(items: DataFrame, item_id: str, text: str, window: int):
-    rows = [(r[0], r[1]) for r in items.select(item_id, text).filter(items[item_id].isNotNull()).collect()]
-    shared = items.sparkSession.sparkContext.broadcast(rows)
+        return merged(spans), found
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def _scanner(rows: DataFrame, window: int):
+    shared = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
     held: list[Scanner] = []
 
     def get() -> Scanner:
@@ -172,25 +183,63 @@ def _scanner(items: DataFrame, item_id: str, text: str, window: int):
     return get
 
 
-def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+_FOUND = (("__spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("__items", pa.list_(pa.string())))
+
+
+def _scan(docs: DataFrame, items: DataFrame, text: str, window: int, item_bytes: int, finish, schema) -> DataFrame:
+    """finish(batch, words of each text, hit runs, items as strings) over docs' batches, after as many passes as the items need."""
+    rows = items.filter(F.col("item_id").isNotNull()).select("item_id", "text")
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    parts = max(1, -(-total // item_bytes))
+    width, at = len(docs.columns), docs.columns.index(text)
+
+    def looked(batch: pa.RecordBatch, scanner: Scanner) -> tuple[list[int], list, list[set]]:
+        counts, spans, found = [], [], []
+        before = [c.to_pylist() for c in batch.columns[width:]] or [[()] * batch.num_rows] * 2
+        for t, old, seen in zip(batch.column(at).to_pylist(), *before, strict=True):
+            tokens = words(t)
+            more, of = scanner.scan(tokens)
+            counts.append(len(tokens))
+            spans.append(merged([(x["start"], x["end"]) for x in old] + more) if old else more)
+            found.append({*map(str, of), *seen})
+        return counts, spans, found
+
+    def one_pass(get, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scanner = get()
+            for batch in batches:
+                counts, spans, found = looked(batch, scanner)
+                own = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+                if last:
+                    yield finish(own, counts, spans, found)
+                else:
+                    rest = [pa.array(c, k) for c, (_, k) in zip(([[{"start": s, "end": e} for s, e in x] for x in spans], [sorted(x) for x in found]), _FOUND, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *rest], names=[*own.schema.names, *(n for n, _ in _FOUND)])
+
+        return run
+
+    scanned = docs
+    between = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("__items", T.ArrayType(T.StringType()))])
+    for part in range(parts):
+        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        last = part == parts - 1
+        scanned = scanned.mapInArrow(one_pass(_scanner(mine, window), last), schema if last else between)
+        scanned = scanned if last else written(scanned, "scanned")
+    return scanned
+
+
+def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (word ranges [start, end) that were hit)."""
-    get = _scanner(items, "item_id", "text", window)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = get()
-        for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text in batch.column("text").to_pylist():
-                tokens = words(text)
-                spans, found = scanner.scan(tokens)
-                hit = sum(e - s for s, e in spans)
-                said = ",".join(sorted(map(str, found)))
-                for o, v in zip(out, (len(tokens), hit, len(found), hashlib.sha256(said.encode()).hexdigest(), hit > 0, [{"start": s, "end": e} for s, e in spans]), strict=True):
-                    o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list, found: list[set]) -> pa.RecordBatch:
+        hit = [sum(e - s for s, e in x) for x in spans]
+        said = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in found]
+        columns = (counts, hit, list(map(len, found)), said, [n > 0 for n in hit], [[{"start": s, "end": e} for s, e in x] for x in spans])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), _FOUND[0][1])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:long,end:long>>"
+    return _scan(docs.select("doc_id", "text"), items, "text", window, item_bytes, finish, schema)
 
 
 def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -206,26 +255,39 @@ def remove_words(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + raw[at:]).decode()
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """docs, all columns, without the hit spans; documents of which more than max_coverage is hit are dropped."""
-    get = _scanner(items, "item_id", "text", window)
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = get()
-        for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for i, t in enumerate(texts):
-                tokens = words(t)
-                spans, _ = scanner.scan(tokens)
-                keep.append(sum(e - s for s, e in spans) <= max_coverage * len(tokens))
-                if spans and keep[-1]:
-                    texts[i] = remove_words(t, spans)
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+    def finish(batch: pa.RecordBatch, counts: list[int], spans: list, found: list[set]) -> pa.RecordBatch:
+        texts, keep = batch.column(at).to_pylist(), []
+        for i, (n, x) in enumerate(zip(counts, spans, strict=True)):
+            keep.append(sum(e - s for s, e in x) <= max_coverage * n)
+            if x and keep[-1]:
+                texts[i] = remove_words(texts[i], x)
+        columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return _scan(docs, items, text, window, item_bytes, finish, docs.schema)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH tokens AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+cut AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM cut),
+placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tokens),
+spots AS (SELECT r, i, word, {", ".join(f"lead(word, {j}) OVER o AS w{j}" for j in range(1, WINDOW))} FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+grams AS ({" UNION ALL ".join(f"SELECT r, i, {n} AS n, word{''.join(f" || ' ' || w{j}" for j in range(1, n))} AS gram FROM spots" for n in range(1, WINDOW + 1))}),
+hits AS (SELECT r, item_id, i, n FROM grams JOIN windows USING (n, gram)),
+words_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM tokens LEFT JOIN words_hit USING (r) LEFT JOIN found USING (r)
+"""

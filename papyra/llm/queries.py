@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
 }
-ORACLES: dict[str, str] = {"op2_url_filter": urlfilter.ORACLE, "op5_license_scan": license.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filter": urlfilter.ORACLE, "op5_license_scan": license.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op10_warc": warc.ORACLE}

@@ -156,3 +156,13 @@ def read(chunks: DataFrame) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(written(write(table(spark, sf_dir, "pages")), "archives")).drop("url")
+
+
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || h[i // 4 * 5 + 1:i // 4 * 5 + 5])::BIGINT >> (5 * (3 - i % 4))::INT) & 31) + 1]), '')"
+ORACLE = f"""
+WITH raw AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+named AS (SELECT page_id, strlen(p)::BIGINT AS payload_bytes, sha1(p) AS h, max(page_id) OVER (PARTITION BY p) AS most FROM raw)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> most THEN most END AS refers_to
+FROM named
+"""

@@ -192,6 +192,18 @@ def test_decontamination(spark, folder):
     assert got == brute.op9(pairs(spark, folder), items)
 
 
+def test_decontamination_in_passes(spark, hard_dir):
+    """A benchmark that is dealt into parts gives what it gives whole."""
+    from papyra.llm import decontaminate
+
+    docs, items = (spark.read.parquet(f"{hard_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert items.count() > 4
+    for f in (decontaminate.report, decontaminate.clean):
+        whole, parts = (f(docs, items, item_bytes=n).toArrow() for n in (1 << 20, 300))
+        assert rows_of(whole, whole.column_names) == rows_of(parts, whole.column_names)
+    assert sum(decontaminate.report(docs, items, item_bytes=300).toArrow().column("n_hit").to_pylist()) > 0
+
+
 def test_warc(spark, folder):
     got = result(spark, "op10_warc", folder)
     assert got == brute.op10(pairs(spark, folder, "pages", "page_id", "html"))
