@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -37,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives what a reused worker's earlier tasks have freed back to the system, and from now on large arrays at once (glibc)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: else it grows with what was freed
+        libc.malloc_trim(0)
+
+
 def blocks(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut [0, len(sizes)) into runs of at most limit in total; an item above the limit stands alone."""
     start, total = 0, 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, table
+from papyra.llm.common import blocks, table, tidy
 
 #: About so many labelled rows of each language are learnt from; MAX_CONTEXTS bounds the frozen trees.
 SAMPLE_ROWS = 1500
@@ -152,6 +152,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         m = shared.value
         for batch in batches:
             texts = batch.column(text).to_pylist()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import table, written
+from papyra.llm.common import table, tidy, written
 
 SHINGLE = 4
 DISTANCE = 4
@@ -82,6 +82,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             fp = fingerprints_of(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fp.view(np.int64))], names=[key, "fp"])
@@ -152,6 +153,7 @@ def edges(distinct: DataFrame) -> DataFrame:
     grouped = placed.repartition("k", "at").sortWithinPartitions("k", "at").select("k", "at.x", "at.y", "side", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[pa.RecordBatch] = []
 
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, expand, table, written
+from papyra.llm.common import blocks, expand, table, tidy, written
 
 SPAN = 50
 KGRAM = 20
@@ -247,10 +247,11 @@ def _shared_anchors(docs: DataFrame, parts: int, span: int) -> DataFrame:
     """(key, anchors): by document, hashes (six bytes each) of anchors that a document of another content has too."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in (b.slice(i, 1 << 15) for b in batches for i in range(0, b.num_rows, 1 << 15)):
             raw, offsets = _texts(batch, "text")
             of = batch.column("key").to_numpy()
-            for x, y in blocks(np.diff(offsets).tolist(), 2 * GROUP):
+            for x, y in blocks(np.diff(offsets).tolist(), GROUP):
                 found = [(k & ~np.uint64(0xFFFF)) | r.astype(np.uint64) for k, r, _, _ in _runs(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], span)]
                 pair = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]))
                 if not len(pair):
@@ -282,6 +283,7 @@ def _shared_anchors(docs: DataFrame, parts: int, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "docs", "contents", "counts", "anchors"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         now = None
 
@@ -333,6 +335,7 @@ def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: in
     """Rows of two kinds, told by part. part >= 0: a task's distinct runs of this part of the anchors. part < 0: a document's runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         group = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, offsets = _texts(batch, "text")
@@ -384,6 +387,7 @@ def _sources(runs: DataFrame, span: int) -> DataFrame:
     """(grp, ids, counts, least): for the runs of a task that some smaller document has in part, each string's smallest document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         held: list[tuple] = []
         now = None
 
@@ -508,6 +512,7 @@ def _kept(raw: memoryview, packed: bytes | None) -> tuple[list[memoryview], int,
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             rows = []
             for t, packed in zip(batch.column("text"), batch.column("removed").to_pylist(), strict=True):
@@ -530,6 +535,7 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
     counted = columns.index("n_chars") if "n_chars" in columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             texts, keep = batch.column(at).to_pylist(), []
             removed = batch.column(len(columns)).to_pylist()
