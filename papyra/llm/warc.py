@@ -110,10 +110,11 @@ class _Reader:
 
     def take(self, chunk: int, chunks: int, data: memoryview) -> tuple | None:
         if chunk == 0:
-            head = bytes(data[: 1 << 16])
-            self.fields, start = parse_header(head)
+            # the header holds the whole url, so it may be of any length
+            whole = bytes(data)
+            self.fields, start = parse_header(whole)
             self.length = int(self.fields["content-length"])
-            http = head.index(b"\r\n\r\n", start) + 4
+            http = whole.index(b"\r\n\r\n", start) + 4
             self.left, self.sha, self.size = self.length - (http - start), hashlib.sha1(), 0
             data = data[http:]
         piece = data[: self.left]

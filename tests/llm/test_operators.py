@@ -209,6 +209,17 @@ def test_warc(spark, folder):
     assert got == brute.op10(pairs(spark, folder, "pages", "page_id", "html"))
 
 
+def test_warc_long_urls(spark, tmp_path):
+    """Headers beyond 64 KiB, of responses in one row and in several, and of a revisit."""
+    from papyra.llm import warc
+
+    pages = [(1, "data:text/html," + "a" * 100_000, "<html>one</html>"), (2, "http://x.org/?q=" + "é" * 100_000, "<p>é</p>" * 500_000), (3, "http://y.org/?q=" + "b" * 70_000, "same"), (4, "http://y.org/", "same")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert result(spark, "op10_warc", str(tmp_path)) == brute.op10([(k, h) for k, _, h in pages])
+    urls = {r.page_id: r.url for r in warc.read(warc.write(spark.read.parquet(f"{tmp_path}/pages.parquet"))).collect()}
+    assert urls == {k: u for k, u, _ in pages}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).count() == 0
