@@ -19,12 +19,9 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is undetermined; lang becomes the language found."""
+    """Drops documents whose language is undetermined; lang becomes the language found. Rows that repeat a doc_id or have none are judged one by one."""
     ship(spark)
-    model = langid.fit(docs.filter(~langid.held_out()))
-    said = langid.predict(docs, model)
-    kept = said.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("doc_id", "lang_pred")
-    return docs.join(kept, "doc_id").select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    return langid.clean(docs, langid.fit(docs.filter(~langid.held_out())), MIN_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,15 +147,16 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score): score is the language's share of the likelihoods 2^-bits, so 0.5 and above for two languages."""
+def _scored(docs: DataFrame, model: Model | None, text: str, finish, schema) -> DataFrame:
+    """finish(batch, languages, scores) over docs' batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         m = shared.value
         for batch in batches:
-            texts = batch.column(text).to_pylist()
+            texts = batch.column(at).to_pylist()
             said, score = ["und"] * len(texts), [0.0] * len(texts)
             rows = [i for i, t in enumerate(texts) if m is not None and has_letter(t)]
             if rows:
@@ -164,10 +165,31 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 share = 1 / np.exp2(np.minimum(0, bits[np.arange(len(rows)), best][:, None] - bits)).sum(1)
                 for i, b, s in zip(rows, best.tolist(), share.tolist(), strict=True):
                     said[i], score[i] = m.languages[b], round(s, 6)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
+            yield finish(batch, said, score)
+
+    return docs.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, lang_pred, score): score is the language's share of the likelihoods 2^-bits, so 0.5 and above for two languages."""
+
+    def finish(batch: pa.RecordBatch, said: list[str], score: list[float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(said, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    return _scored(docs.select(key, text), model, text, finish, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def clean(docs: DataFrame, model: Model | None, min_score: float, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs, all columns, lang being the language found, without rows that are `und` or below min_score; each row is judged by itself, whatever its key."""
+    at = docs.columns.index(lang)
+
+    def finish(batch: pa.RecordBatch, said: list[str], score: list[float]) -> pa.RecordBatch:
+        keep = [x != "und" and s >= min_score for x, s in zip(said, score, strict=True)]
+        columns = [pa.array(said, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scored(docs, model, text, finish, docs.schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

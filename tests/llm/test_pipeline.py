@@ -88,3 +88,14 @@ def test_run(spark):
 
 def test_empty(spark, empty_dir):  # noqa: F811
     assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_language_keys(spark):
+    """Null and repeated doc_ids: as many rows as have a language, each with its own text."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    good = [r for r in docs if len(r[1] or "") > 500][:5]
+    again = docs[0][0]
+    more = [(None, *good[0][1:]), (None, *good[1][1:]), (None, "12 34", None, "web", 5), (again, *good[2][1:]), (again, *good[2][1:]), (again, "?!", None, "web", 2), (again, None, None, "web", None)]
+    df = spark.createDataFrame(docs + more, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.language(spark, df, DATA).collect()]
+    assert sorted(got, key=repr) == sorted(((k, t) for k, t, *_ in docs + more if t and any(map(str.isalpha, t))), key=repr)
