@@ -213,12 +213,6 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return own.join(of, "fp").select(key, "fp", "component")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those whose component has a smaller key; rows that repeat a key or have none stay together."""
-    dropped = classes(docs.filter(F.col(key).isNotNull()), key, text).filter(F.col("component") < F.col(key)).select(key)
-    return docs.join(dropped, key, "left_anti").select(docs.columns)
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = classes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import random
 
 import pytest
 
@@ -99,3 +100,51 @@ def test_language_keys(spark):
     df = spark.createDataFrame(docs + more, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.language(spark, df, DATA).collect()]
     assert sorted(got, key=repr) == sorted(((k, t) for k, t, *_ in docs + more if t and any(map(str.isalpha, t))), key=repr)
+
+
+def shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def alike_brute(docs):
+    """The smallest doc_id of each group linked by a Jaccard similarity of 0.8 or more."""
+    sets = {k: shingles(t) for k, t in docs}
+    least = {k: k for k in sets}
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    return {k for k in sets if root(k) == k}
+
+
+@pytest.mark.parametrize("case", ["given", "edited"])
+def test_near_copies(spark, case):
+    """Against brute force: the given table, and copies with edits on both sides of the threshold, a group of 90 and a common line."""
+    if case == "given":
+        docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    else:
+        rng = random.Random(5)
+        texts = ["", None, " ", "one two", "One  two", "a b c d e", "a b c d e f"]
+        for size, copies in [(n, 1) for n in (20, 60, 100, 300) for _ in range(15)] + [(200, 90)]:
+            base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+            texts.append(" ".join(base))
+            for _ in range(copies):
+                w = list(base)
+                for _ in range(rng.randrange(1, 2 + size // 30)):
+                    w[rng.randrange(size)] = f"e{rng.randrange(5000)}"
+                texts.append(" ".join(w))
+        line = "this very common line stands in many of the texts here"
+        texts += [f"{line} " + " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(1, 30))) for _ in range(80)]
+        docs = list(zip(rng.sample(range(9999), len(texts)), texts, strict=True))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, DATA).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == alike_brute(docs)
