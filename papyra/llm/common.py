@@ -43,6 +43,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tidy() -> None:
     """Gives what a reused worker's earlier tasks have freed back to the system, and from now on large arrays at once (glibc)."""
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()  # the modules stay; later collections need not visit them
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):

@@ -1,14 +1,17 @@
 """Near copies by exact resemblance: texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Two sets that are so alike share one of the first n - ceil(0.8 n) + 1 members of each, in any order that all sets use (prefix
-filtering), so the texts that meet under such members include every pair that counts: no pair is missed by chance, as it
-may be under a fingerprint. The order puts members that are common in a sample last, which keeps the groups small and
-changes no result. What meets is screened by parity maps: map bit h mod B is the parity of the members there, so two maps differ
-in no more bits than the sets in members, and pairs that differ in too many cannot be alike. The pairs left are checked by the
-exact similarity of the whole sets, which are made again from the texts for these pairs only.
-
-Rows meet as distinct sets, so copies cost one row. Of a large group, a few pivots at first meet the other members; members
-that are then linked need not meet again, and the pivots become eight times as many in each round until all have met.
+Rows meet as distinct sets, so copies cost one row. The caller's candidates (pairs that fingerprints link) are verified first,
+by the exact similarity of the whole sets; they settle most near copies, but a fingerprint misses some pairs by chance. The
+rest follows from prefix filtering, which misses none: two sets that are so alike share one of the first n - ceil(0.8 n) + 1
+members of each, in any order that all sets use. The order puts members that are common in a sample last, which keeps the
+groups small and changes no result. Only sets of different classes that meet under such a member are compared: first by
+parity maps (map bit h mod B is the parity of the members there, so two maps differ in no more bits than the sets in
+members, and pairs that differ in too many cannot be alike), then exactly. Whole sets are made again from the texts, for
+compared pairs only.
+
+Of a large group, about PIVOTS members at first meet the others: those whose hash is small for the group's size, so none
+need be ranked and no task holds a group. Sets that are linked by then need not meet again; the pivots become GROWTH times as
+many in each round, until all have met or share a class.
 
 Defined results: words are split at ASCII white space and lower-cased in ASCII; texts of fewer than five words are one
 shingle; null, empty and blank texts are copies of one another; classes are transitive and named by their smallest key.
@@ -16,17 +19,17 @@ shingle; null, empty and blank texts are copies of one another; classes are tran
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.common import blocks, tidy, written
-from papyra.llm.simhash import components
+from papyra.llm.graph import components
 
 SHINGLE = 5
 #: The similarity is at least ALIKE / OF.
@@ -34,9 +37,9 @@ ALIKE, OF = 4, 5
 #: The order is learnt from about so many texts; at most COMMON members are put last.
 SAMPLE_ROWS = 4000
 COMMON = 50_000
-#: In groups of at most so many sets all meet at once; in larger ones PIVOTS sets meet the others at first.
-SMALL = 64
-PIVOTS = 8
+#: In groups of at most PIVOTS sets all meet at once; in larger ones about so many meet the others at first.
+PIVOTS = 64
+GROWTH = 64
 #: Characters of text whose sets a worker holds at once; a longer text stands alone.
 BLOCK = 1 << 20
 
@@ -96,17 +99,25 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
+def fingerprint(own: np.ndarray) -> int:
+    """The bits that more than half of the members have, as a signed long."""
+    bits = np.zeros(64, np.int64)
+    for a in range(0, len(own), 1 << 14):
+        bits += np.unpackbits(own[a : a + (1 << 14)].astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(own), bitorder="little").view("<i8")[0])
+
+
 def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, n, first, map): the set's number, size, prefix and parity map."""
+    """(key, node, n, first, map, fp): the set's number, size, prefix, parity map and fingerprint."""
     rate = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for batch in (part for whole in batches for part in _blocks(whole, 0)):
-            yield pa.RecordBatch.from_arrays([_lists([members(t) for t in batch.column(0).to_pylist()])], names=["m"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(members(t) for t in batch.column(0).to_pylist())]))], names=["m"])
 
-    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(rate * 1_000_000)).select(text).distinct()
-    seen = some.mapInArrow(sample, "m array<long>").select(F.explode("m").alias("m")).groupBy("m").count().filter("count > 2").orderBy(F.desc("count"), "m").limit(COMMON).toArrow()
+    some = docs.filter(F.pmod(F.xxhash64(key, text), F.lit(1_000_000)) < int(rate * 1_000_000)).select(text)
+    seen = some.mapInArrow(sample, "m long").groupBy("m").count().filter("count > 2").orderBy(F.desc("count"), "m").limit(COMMON).toArrow()
     common, often = (seen.column(c).to_numpy().astype(np.int64) for c in ("m", "count"))
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], often[order]))
@@ -116,10 +127,10 @@ def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
         last, rank = shared.value
         for batch in (part for whole in batches for part in _blocks(whole, 1)):
             sets = [members(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(list(map(_node, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([prefix(s, last, rank) for s in sets]), pa.array([parity(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "first", "map"])
+            columns = [batch.column(0), pa.array(list(map(_node, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([prefix(s, last, rank) for s in sets]), pa.array([parity(s) for s in sets], pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "first", "map", "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, node long, n long, first array<long>, map binary")
+    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, node long, n long, first array<long>, map binary, fp long")
 
 
 def screened(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -154,36 +165,46 @@ def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     return met.filter((ALIKE + OF) * F.col("both") >= ALIKE * F.col("n")).select("a", "b")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, component): the smallest key reachable over texts that are alike."""
+def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
+    """of (node, component) after links (a, b) between nodes. Only the classes that links join are worked on."""
+    one, two = (of.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
+    joined = written(links.join(one, "a").join(two, "b").filter("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "joined")
+    if not joined.limit(1).count():
+        return of
+    names = joined.select(F.explode(F.array("a", "b")).alias("fp")).distinct().select("fp", F.col("fp").alias("name"))
+    to = components(joined, names).select(F.col("fp").alias("component"), F.col("component").alias("to"))
+    return written(of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "classes")
+
+
+def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, component): the smallest key reachable over texts that are alike. candidates: pairs (a, b) of nodes to try first, of (node, fp)."""
     own = written(shingled(docs, key, text), "shingles")
-    names = written(own.groupBy("node").agg(F.min("key").alias("name")), "distinct")
-    sets = own.join(names.select("node", F.col("name").alias("key")), ["node", "key"], "left_semi")
-    by = Window.partitionBy("k")
-    met = sets.select("node", "n", F.explode("first").alias("k")).select("*", F.min("node").over(by).alias("lo"), F.max("node").over(by).alias("hi")).filter("lo <> hi").select("k", "node", "n").distinct()
-    groups = met.select("*", F.row_number().over(by.orderBy(F.xxhash64("node"))).alias("rank"), F.count("*").over(by).alias("size"))
-    named = names.select(F.col("node").alias("fp"), "name")
-    of, links = named.withColumnRenamed("name", "component"), None
+    sets = written(own.groupBy("node").agg(F.min("key").alias("name"), *[F.first(c).alias(c) for c in ("n", "first", "map", "fp")]), "sets")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+
+    def linked(of: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = written(screened(pairs, sets), "pairs")
+        return _merged(of, alike(pairs, sets, texts)) if pairs.limit(1).count() else of
+
+    of = linked(sets.select("node", F.col("name").alias("component")), candidates(sets.select("node", "fp")))
+    keyed = sets.select("node", "n", F.explode("first").alias("k"))
+    met = written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1"), "k").select("k", "node", "n", "size"), "groups")
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
     tried, upto = 0, PIVOTS
     while True:
-        placed = groups.select("k", "node", "n", "rank", "size").join(of.select(F.col("fp").alias("node"), "component"), "node")
-        live = placed.select("*", F.min("component").over(by).alias("lo"), F.max("component").over(by).alias("hi")).filter("lo <> hi").drop("lo", "hi")
-        groups = written(live if links is None else live.filter((F.col("size") > SMALL) & (F.col("size") > tried)), "groups")
-        if not groups.limit(1).count():
+        placed = met.filter(F.col("size") > tried).join(of, "node")
+        several = placed.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k")
+        live = written(placed.join(several, "k"), "live")
+        if not live.limit(1).count():
             break
-        pivots = groups.filter((F.col("size") <= SMALL) | ((F.col("rank") > tried) & (F.col("rank") <= upto))).select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        meet = pivots.join(groups, "k").filter((F.col("component") != F.col("pc")) & (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")))
-        pairs = meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        pairs = written(screened(pairs, sets.select("node", "n", "map").dropDuplicates(["node"])), "pairs")
-        found = alike(pairs, names, texts)
-        links = written(found if links is None else links.unionByName(found), "alike")
-        of = written(components(links, named), "classes")
-        tried, upto = upto, upto * 8
-    return own.select("key", F.col("node").alias("fp")).join(of, "fp").select(F.col("key").alias(key), "component")
-
-
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        pivots = live.filter((place >= tried) & (place < upto)).select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
+        meet = pivots.join(live, "k").filter((F.col("component") != F.col("pc")) & (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")))
+        of = linked(of, meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
+        tried, upto = upto, upto * GROWTH
+    return own.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component")
+
+
+def representatives(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those whose class has a smaller key; rows that repeat a key stay or go together, rows without one stay."""
-    dropped = classes(docs.filter(F.col(key).isNotNull()), key, text).filter(F.col("component") < F.col(key)).select(key)
+    dropped = classes(docs.filter(F.col(key).isNotNull()), candidates, key, text).filter(F.col("component") < F.col(key)).select(key).distinct()
     return docs.join(dropped, key, "left_anti").select(docs.columns)

@@ -26,7 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.llm import resemblance
 from papyra.llm.common import table, tidy, written
+from papyra.llm.graph import components
 
 SHINGLE = 4
 DISTANCE = 4
@@ -187,24 +189,6 @@ def edges(distinct: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "a long, b long").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(links: DataFrame, names: DataFrame) -> DataFrame:
-    """names (fp, name): the smallest name that each fp reaches through links (a, b), as (fp, component)."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    nodes = both.select(F.col("a").alias("fp")).distinct()
-    state = written(names.join(nodes, "fp", "left_semi").select("fp", F.col("name").alias("c")), "labels")
-    while True:
-        # hook: the smallest label among the neighbours; the label's own holder takes it too, then labels jump once
-        offered = both.join(state.select(F.col("fp").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        hooked = state.join(offered, state.fp == offered.a).select("fp", "c", F.least("c", "m").alias("m"))
-        roots = hooked.groupBy("c").agg(F.min("m").alias("to"))
-        stepped = written(hooked.join(roots, "c").select("fp", F.least("m", "to").alias("n"), F.col("c").alias("old")), "labels")
-        jump = stepped.groupBy(F.col("old")).agg(F.min("n").alias("far")).withColumnRenamed("old", "at")
-        state = written(stepped.join(jump, stepped.n == jump["at"], "left").select("fp", F.least("n", F.coalesce("far", "n")).alias("c")), "labels")
-        if not state.join(stepped.select("fp", "old"), "fp").filter("c <> old").limit(1).count():
-            break
-    return names.join(state, "fp", "left").select("fp", F.coalesce("c", "name").alias("component"))
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp, component): the smallest key reachable over links of DISTANCE or fewer bits."""
     own = written(fingerprints(docs, key, text), "fingerprints")
@@ -213,6 +197,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return own.join(of, "fp").select(key, "fp", "component")
 
 
+def candidates(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of sets (node, fp) that connect what fingerprints within DISTANCE link."""
+    heads = written(sets.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = sets.join(heads, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    one, two = (heads.select(F.col("fp").alias(s), F.col("head").alias(f"h{s}")) for s in "ab")
+    far = edges(heads.select("fp")).join(one, "a").join(two, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    return same.unionByName(far)
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies, the one of the smallest key.
+
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles. Pigeonring over the fingerprints of these
+    shingles proposes pairs; each is verified by exact similarity, and the pairs that no fingerprint shows are completed
+    exactly (see resemblance)."""
+    return resemblance.representatives(docs, candidates, key, text)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = classes(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
