@@ -1,8 +1,8 @@
 """A training corpus from documents: five stages, each a table that the next one reads.
 
-Language ID drops what has no language, near-copy removal keeps one document of each group of texts with a Jaccard similarity
-of 0.8 or more on five-word shingles, suffix-array dedup cuts
-repeated passages, decontamination cuts benchmark passages, and byte-level BPE tokenises what is left.
+Language ID drops what has no language, SimHash near-dedup keeps one document of each group of texts with a Jaccard
+similarity of 0.8 or more on five-word shingles, suffix-array dedup cuts repeated passages, decontamination cuts benchmark
+passages, and byte-level BPE tokenises what is left.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, decontaminate, langid, resemblance, suffix
+from papyra.llm import bpe, decontaminate, langid, simhash, suffix
 from papyra.llm.common import table, written
 from papyra.session import ship
 
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest doc_id, of each group linked by a Jaccard similarity of 0.8 or more on five-word shingles stays."""
-    return resemblance.representatives(docs)
+    return simhash.representatives(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
