@@ -1,16 +1,19 @@
 """WARC archives as a chunked record table.
 
 A record's bytes are stored as rows (archive, record, chunk, data, ...): chunk 0 starts with the WARC header, and payloads
-above CHUNK bytes continue in further rows, so neither writer nor reader allocates a whole oversized record. Every row
-carries the SHA-1 of its own payload bytes and the running SHA-1 of the payload so far; the last row's is the record's. The rows of a
-record, concatenated in order, are a WARC/1.1 record; an archive is its records, concatenated.
+above CHUNK bytes continue in further rows. Spark cuts the payload into chunk rows before Python sees it, so writer and
+reader hold a chunk of a record at a time and carry a running digest from one to the next; only the input row itself, in
+Spark, holds a page whole. Every row carries the SHA-1 of its own payload bytes and the running SHA-1 of the payload so far;
+the last row's is the record's. The rows of a record, concatenated in order, are a WARC/1.1 record; an archive is its
+records, concatenated. Records have numbers of their own, so pages may repeat an identifier or have none.
 
 Equal payloads (by SHA-1, base32) of at least `floor` bytes are stored once, with the largest identifier; the others are
 revisit records that refer to it. Which these are is settled on digests alone, before any payload moves; only revisited
 digests are joined with the pages.
 
-Defined results: null payloads are empty; empty payloads are payloads like any other; repeated identifiers give repeated
-records; a null identifier is kept as an empty WARC-Target id.
+Defined results: null payloads are empty; empty payloads are payloads like any other; repeated rows give repeated records,
+of any size; a page without identifier
+is a revisit of an equal one that has an identifier, and is kept with an empty id; no pages give no records.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from papyra.llm.common import table, written
 
 CHUNK = 1 << 20
 FLOOR = 0
-SCHEMA = "archive int, record_id long, chunk int, chunks int, data binary, payload_from int, payload_sha1 binary, running_sha1 binary"
-_ARROW = pa.schema([("archive", pa.int32()), ("record_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("data", pa.binary()), ("payload_from", pa.int32()), ("payload_sha1", pa.binary()), ("running_sha1", pa.binary())])
+SCHEMA = "archive int, record long, record_id long, chunk int, chunks int, data binary, payload_from int, payload_sha1 binary, running_sha1 binary"
+_ARROW = pa.schema([("archive", pa.int32()), ("record", pa.int64()), ("record_id", pa.int64()), ("chunk", pa.int32()), ("chunks", pa.int32()), ("data", pa.binary()), ("payload_from", pa.int32()), ("payload_sha1", pa.binary()), ("running_sha1", pa.binary())])
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -56,33 +59,35 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     """The archives' rows. The shared digests are written first, so that their measured size picks the join's strategy."""
     shared = written(responses(pages, key, payload, floor), "responses")
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), raw.alias("p"), F.unhex(F.sha1(raw)).alias("sha")).join(shared, "sha", "left").select("k", "u", "p", F.spark_partition_id().alias("archive"), F.when(F.octet_length("p") >= floor, F.col("response")).alias("response"))
+    own = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), raw.alias("p"), F.unhex(F.sha1(raw)).alias("sha")).join(shared, "sha", "left")
+    refers = F.when((F.octet_length("p") >= floor) & ~F.col("response").eqNullSafe(F.col("k")), F.col("response"))
+    sized = own.select("k", "u", "p", "sha", F.octet_length("p").alias("size"), refers.alias("refers"), F.spark_partition_id().alias("archive"), F.monotonically_increasing_id().alias("record"))
+    # a revisit has no payload; an empty one is a chunk too
+    parts = F.when(F.col("refers").isNotNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(chunk)).cast("int")))
+    cut = sized.withColumn("chunks", parts).select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    piece = F.when(F.col("refers").isNull(), F.substring("p", F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    rows = cut.select("archive", "record", "k", "u", "sha", "size", "refers", "chunk", "chunks", piece.alias("piece"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = hashlib.sha1()
         for batch in batches:
             out: list[tuple] = []
             size = 0
             for i in range(batch.num_rows):
-                k, u, archive, refers = (batch.column(n)[i].as_py() for n in ("k", "u", "archive", "response"))
-                view = memoryview(batch.column("p")[i].as_buffer())
-                sha = hashlib.sha1(view)
-                if refers is not None and refers != k:
-                    head = header("revisit", k, u, sha.digest(), len(_HTTP), len(view), refers) + _HTTP
-                    view, parts = view[:0], 1
-                else:
-                    head = header("response", k, u, sha.digest(), len(_HTTP) + len(view), len(view), None) + _HTTP
-                    parts = max(1, -(-len(view) // chunk))
-                running = hashlib.sha1()
-                for c in range(parts):
-                    piece = bytes(view[c * chunk : (c + 1) * chunk])
-                    running.update(piece)
-                    start = len(head) if c == 0 else 0
-                    data = (head if c == 0 else b"") + piece + (b"\r\n\r\n" if c == parts - 1 else b"")
-                    out.append((archive, k, c, parts, data, start, hashlib.sha1(piece).digest(), running.digest()))
-                    size += len(data)
-                    if size > 4 << 20:
-                        yield _batch(out)
-                        out, size = [], 0
+                archive, record, k, u, sha, whole, refers, c, of = (batch.column(n)[i].as_py() for n in ("archive", "record", "k", "u", "sha", "size", "refers", "chunk", "chunks"))
+                data = batch.column("piece")[i].as_py()
+                own = hashlib.sha1(data).digest()
+                head = b""
+                if c == 0:
+                    running = hashlib.sha1()
+                    kind, length = ("response", whole) if refers is None else ("revisit", 0)
+                    head = header(kind, k, u, sha, len(_HTTP) + length, whole, refers) + _HTTP
+                running.update(data)
+                out.append((archive, record, k, c, of, head + data + (b"\r\n\r\n" if c == of - 1 else b""), len(head), own, running.digest()))
+                size += len(out[-1][5])
+                if size > 4 << 20:
+                    yield _batch(out)
+                    out, size = [], 0
             if out:
                 yield _batch(out)
 
@@ -149,9 +154,9 @@ def read(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
-    used = chunks.select("archive", "record_id", "chunk", "chunks", "data")
+    used = chunks.select("archive", "record", "chunk", "chunks", "data")
     whole = used.filter("chunks = 1").mapInArrow(run, schema)
-    split = used.filter("chunks > 1").repartition("archive", "record_id").sortWithinPartitions("archive", "record_id", "chunk")
+    split = used.filter("chunks > 1").repartition("archive", "record").sortWithinPartitions("archive", "record", "chunk")
     return whole.unionByName(split.mapInArrow(run, schema))
 
 
@@ -163,7 +168,7 @@ _BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLM
 ORACLE = f"""
 WITH raw AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
 named AS (SELECT page_id, strlen(p)::BIGINT AS payload_bytes, sha1(p) AS h, max(page_id) OVER (PARTITION BY p) AS most FROM raw)
-SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = most THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> most THEN most END AS refers_to
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM most OR most IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM most THEN most END AS refers_to
 FROM named
 """

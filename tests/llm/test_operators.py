@@ -220,6 +220,17 @@ def test_warc_long_urls(spark, tmp_path):
     assert urls == {k: u for k, u, _ in pages}
 
 
+def test_warc_repeated_rows(spark, tmp_path):
+    """Rows of one identifier, and of none, several chunks each, in one partition."""
+    big = "<p>é</p>" * 500_000
+    rows = [(1, "http://x.org/", big), (1, "http://x.org/", big), (None, "http://y.org/", big + "y"), (None, "http://z.org/", big + "z"), (None, None, None), (2, "http://x.org/", "small"), (2, "http://x.org/", "small"), (None, None, "small")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.QUERIES["op10_warc"](spark, str(tmp_path)).collect()]
+    said = [(k, len(raw := (h or "").encode()), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response", None) for k, _, h in rows]
+    said[-1] = (*said[-1][:3], "revisit", 2)
+    assert sorted(got, key=repr) == sorted(said, key=repr)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).count() == 0
