@@ -8,19 +8,24 @@ two documents share can repeat.
 Exact copies are settled first, on digests: all but the smallest key lose their whole text and take no further part.
 
 1. Anchors: each task sends an anchor's hash and one document of at most two contents (contents of one task answer for each
-   other), packed into binary blocks. What comes back, by document, are the hashes that several contents share.
+   other, and are told apart by 64-bit digests), packed into binary blocks. What comes back, by document, are the hashes that
+   several contents share.
 2. Candidates: the strings under shared anchors form runs of neighbouring strings. Each task sends each distinct run once,
-   with its smallest document; equal runs are told by their bytes.
-3. Suffix sort: per block of anchors, string starts of distinct runs are grouped by polynomial hash and those that meet are
-   merge-sorted as suffixes. Prefix polynomial hashes and binary search find how far two suffixes agree, so a comparison
-   takes log2(SPAN) steps; neighbours in the order are verified byte by byte, so a collision removes nothing. Each string's
-   smallest document goes back to the tasks' runs.
+   with its smallest document; equal runs are told by their bytes. The runs of a hot anchor, one that many documents share (by
+   a sample that sets routes only), are cut again by a second anchor, so that they spread over many parts.
+3. Suffix sort: per part, string starts of distinct runs are merge-sorted as suffixes, from buckets of their first 16 bytes.
+   Prefix polynomial hashes and binary search find how far two suffixes agree, so a comparison takes log2(SPAN) steps.
+   Neighbours in the order that agree on SPAN bytes, verified byte by byte, are one string: a collision removes nothing. Before
+   the sort, starts whose slot in a table of hashed strings is theirs alone are left out, as nothing can equal them. Each
+   string's smallest document goes back to the tasks' runs.
 4. Removal: documents meet their removed ranges.
 
-A group of copies sends one run for each task, not one for each copy, whatever its size.
+A group of copies sends one run for each task, not one for each copy, whatever its size. The number of parts follows from the
+bytes of text.
 
 Defined results: texts shorter than SPAN and null texts keep all; a null key is neither source nor target; rows that repeat
-a key are the same document and do not remove from each other; overlaps within one document do not count.
+a key are the same document and do not remove from each other, and each has its own text's result; overlaps within one document do not count; no documents give
+no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +50,12 @@ KGRAM = 20
 #: Bytes of text whose anchors are found together, and whose runs are told apart together.
 BUFFER = 1 << 19
 GROUP = 1 << 23
-PARTS = 3
+#: Bytes of text for each part of the sort.
+PART = 6 << 20
+#: An anchor is hot above HOT documents, or one in SPREAD where that is more, judged by SAMPLED documents of the least hot one.
+HOT = 2048
+SPREAD = 10_000
+SAMPLED = 32
 BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _power: dict[str, np.ndarray] = {}
@@ -71,14 +81,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts [start, end) in raw: the runs of neighbouring strings of one anchor, as (anchor hash, first start, number)."""
+def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, kgram: int = KGRAM, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts [start, end) in raw: the runs of neighbouring strings of one anchor, as (anchor hash, first start, number).
+    Each salt has anchors of its own."""
     width = span - kgram + 1
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(raw) < span:
         return none
     at = np.arange(len(raw) - kgram + 1)
-    h = mixed(spans_hash(prefix_hashes(raw), at, kgram))
+    h = mixed(spans_hash(prefix_hashes(raw), at, kgram) ^ np.uint64(salt))
     low = np.uint64((1 << 26) - 1)
     least = (h & ~low) | at.astype(np.uint64)  # the smallest hash, then the leftmost
     reach = 1
@@ -165,6 +176,29 @@ def suffix_sort(raw: np.ndarray, starts: np.ndarray, segment: np.ndarray, limit:
     return order
 
 
+def _may_repeat(h: np.ndarray) -> np.ndarray:
+    """False where no other of these hashes has the same slot of a table of eight slots or more for each."""
+    bits = max(10, (8 * len(h)).bit_length())
+    slot = (mixed(h) >> np.uint64(64 - bits)).astype(np.int64)
+    last = np.zeros(1 << bits, np.int32)
+    number = np.arange(len(h), dtype=np.int32)
+    last[slot] = number
+    met = np.zeros(1 << bits, bool)
+    met[slot[last[slot] != number]] = True
+    return met[slot]
+
+
+def _head(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes from at on, as two numbers in the order of the bytes."""
+    out = []
+    for a in (0, 8):
+        n = np.zeros(len(at), np.uint64)
+        for b in range(a, a + 8):
+            n = n << np.uint64(8) | raw[at + b]
+        out.append(n)
+    return out[0], out[1]
+
+
 def smallest_sources(data: list[bytes], least: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """data: distinct runs; least: each one's smallest document. For every string of every run, the smallest document
     that has it: flat, with the number of strings of each run."""
@@ -173,17 +207,15 @@ def smallest_sources(data: list[bytes], least: np.ndarray, span: int = SPAN) ->
     count = lengths - span + 1
     at = expand(np.cumsum(lengths) - lengths, count)
     own = np.repeat(least, count)
-    h = spans_hash(prefix_hashes(raw), at, span)
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    meets = np.append(False, same) | np.append(same, False)
-    rows = order[meets]
+    rows = np.flatnonzero(_may_repeat(spans_hash(prefix_hashes(raw), at, span)))
     if len(rows):
-        segment = np.cumsum(np.append(True, h[rows[1:]] != h[rows[:-1]]))
-        place = suffix_sort(raw, at[rows], segment, span)
-        rows, segment = rows[place], segment[place]
+        high, low = _head(raw, at[rows])
+        rows = rows[np.lexsort((low, high))]
+        high, low = _head(raw, at[rows])
+        segment = np.cumsum(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
+        rows = rows[suffix_sort(raw, at[rows], segment, span)]
         new = np.ones(len(rows), bool)
-        for a in range(0, len(rows) - 1, 1 << 17):  # verification: neighbours in suffix order, byte by byte
+        for a in range(0, len(rows) - 1, 1 << 17):  # neighbours in suffix order, byte by byte
             x, y = at[rows[a : a + (1 << 17)][: len(rows) - 1 - a]], at[rows[a + 1 : a + 1 + (1 << 17)]]
             equal = np.ones(len(x), bool)
             for b in range(span):
@@ -331,15 +363,47 @@ def _groups(sorted_: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cut, [*cut[1:], len(sorted_)], strict=True))
 
 
-def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: int, span: int) -> DataFrame:
-    """Rows of two kinds, told by part. part >= 0: a task's distinct runs of this part of the anchors. part < 0: a document's runs."""
+def _hot(by_doc: DataFrame, docs: int) -> np.ndarray:
+    """Anchors (six bytes) that many documents share, by a sample; at most SPREAD times the anchors of a document on average."""
+    least = max(HOT, docs // SPREAD)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [np.unique(_unpack6(b"".join(v))).view(np.int64) for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *each]))], names=["k"])
+
+    some = by_doc.filter(F.pmod(F.xxhash64("key"), F.lit(least)) < SAMPLED).select("shared")
+    found = some.mapInArrow(unpack, "k long").groupBy("k").count().filter(F.col("count") >= SAMPLED).select("k").toArrow()
+    return np.sort(found.column("k").to_numpy().astype(np.uint64))
+
+
+def _inside(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
+
+
+def _spread(text: np.ndarray, k: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(route, start, count): the runs of hot anchors cut by second anchors, the others as they are."""
+    some = _inside(hot, k)
+    if not some.any():
+        return k, start, count
+    n = count[some] + span - 1
+    at = np.cumsum(n) - n
+    second, first, number = anchors(text[expand(start[some], n)], at, at + n, span, salt=BASE)
+    of = np.searchsorted(at + n, first, "right")
+    route = k[some][of] ^ (second >> np.uint64(16))
+    return np.append(k[~some], route), np.append(start[~some], first - at[of] + start[some][of]), np.append(count[~some], number)
+
+
+def _candidates(docs: DataFrame, by_doc: DataFrame, hot: Broadcast, parts: int, span: int) -> DataFrame:
+    """Rows of two kinds, told by part. part >= 0: a task's distinct runs of this part of the routes. part < 0: a document's runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
+        many = hot.value
         group = TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, offsets = _texts(batch, "text")
-            of, shared_by = batch.column("key").to_numpy(), batch.column("shared")
+            of, tags, shared_by = batch.column("key").to_numpy(), batch.column("tag").to_numpy(), batch.column("shared")
             for x, y in blocks(np.diff(offsets).tolist(), GROUP):
                 group += 1
                 number: dict[bytes, int] = {}
@@ -359,6 +423,7 @@ def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: in
                 for row, found in sorted(here.items(), key=lambda f: of[x + f[0]]):
                     base, d = int(offsets[x + row] - offsets[x]), int(of[x + row])
                     k, start, count = (np.concatenate(c) for c in zip(*found, strict=True))
+                    k, start, count = _spread(raw[offsets[x + row] : offsets[x + row + 1]], k, start, count, many, span)
                     ids = []
                     for a, n, p in zip((start + base).tolist(), count.tolist(), (k % np.uint64(parts)).tolist(), strict=True):
                         i = number.setdefault(body[a : a + n + span - 1], len(number))
@@ -366,7 +431,7 @@ def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: in
                             least.append(d)
                             part.append(p)
                         ids.append(i)
-                    rows.append((-1, group, d, np.array(ids, "<i4").tobytes(), start.astype("<i4").tobytes(), count.astype("<i4").tobytes(), None))
+                    rows.append((-1, group, d, int(tags[x + row]), np.array(ids, "<i4").tobytes(), start.astype("<i4").tobytes(), count.astype("<i4").tobytes(), None))
                 if not number:
                     continue
                 data, of_part, low = list(number), np.array(part), np.array(least, "<i8")
@@ -375,12 +440,12 @@ def _candidates(docs: DataFrame, shared: DataFrame, copies: DataFrame, parts: in
                 for s, e in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
                     some = order[s:e]
                     mine = [data[i] for i in some.tolist()]
-                    rows.append((int(of_part[some[0]]), group, None, some.astype("<i4").tobytes(), low[some].tobytes(), np.array([len(m) for m in mine], "<i4").tobytes(), b"".join(mine)))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "grp", "key", "ids", "starts", "lengths", "data"])
+                    rows.append((int(of_part[some[0]]), group, None, None, some.astype("<i4").tobytes(), low[some].tobytes(), np.array([len(m) for m in mine], "<i4").tobytes(), b"".join(mine)))
+                kinds = [*[pa.int64()] * 4, *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "grp", "key", "tag", "ids", "starts", "lengths", "data"])
 
-    by_doc = shared.groupBy("key").agg(F.collect_list("anchors").alias("shared")).join(copies, "key", "left_anti")
-    return docs.join(by_doc, "key").mapInArrow(run, "part long, grp long, key long, ids binary, starts binary, lengths binary, data binary")
+    own = docs.join(by_doc, "key").filter("whole is null or not array_contains(whole, tag)").drop("whole")
+    return own.mapInArrow(run, "part long, grp long, key long, tag long, ids binary, starts binary, lengths binary, data binary")
 
 
 def _sources(runs: DataFrame, span: int) -> DataFrame:
@@ -428,7 +493,7 @@ def _sources(runs: DataFrame, span: int) -> DataFrame:
 
 
 def _ranges(runs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
-    """(key, removed): by document, the removed byte ranges as pairs of longs."""
+    """(key, tag, removed): by document, the removed byte ranges as pairs of longs."""
 
     def run(mine: pa.Table, answers: pa.Table) -> pa.Table:
         ids = [np.frombuffer(x, "<i4") for x in mine.column("ids").to_pylist()]
@@ -446,41 +511,46 @@ def _ranges(runs: DataFrame, sources: DataFrame, span: int) -> DataFrame:
         for i, n, v in zip(*(answers.column(c).to_pylist() for c in ("ids", "counts", "least")), strict=True):
             i, n = np.frombuffer(i, "<i4"), np.frombuffer(n, "<i4").astype(np.int64)
             flat[expand(at[i], n)] = np.frombuffer(v, "<i8")
-        keys, removed = [], []
-        for d, i, n, s in zip(who.tolist(), ids, count, mine.column("starts").to_pylist(), strict=True):
+        keys, tags, removed = [], [], []
+        for d, tag, i, n, s in zip(who.tolist(), mine.column("tag").to_pylist(), ids, count, mine.column("starts").to_pylist(), strict=True):
             start = np.sort(expand(np.frombuffer(s, "<i4").astype(np.int64), n)[flat[expand(at[i], n)] < d])
             if len(start):
                 new = np.flatnonzero(np.append(True, start[1:] > start[:-1] + span))
                 keys.append(d)
+                tags.append(tag)
                 removed.append(np.stack([start[new], np.append(start[new[1:] - 1], start[-1]) + span], 1).astype("<i8").tobytes())
-        return pa.table([pa.array(keys, pa.int64()), pa.array(removed, pa.binary())], names=["key", "removed"])
+        return pa.table([pa.array(keys, pa.int64()), pa.array(tags, pa.int64()), pa.array(removed, pa.binary())], names=["key", "tag", "removed"])
 
-    mine = runs.filter("part < 0").select("grp", "key", "ids", "starts", "lengths")
-    return mine.groupBy("grp").cogroup(sources.groupBy("grp")).applyInArrow(run, "key long, removed binary")
+    mine = runs.filter("part < 0").select("grp", "key", "tag", "ids", "starts", "lengths")
+    return mine.groupBy("grp").cogroup(sources.groupBy("grp")).applyInArrow(run, "key long, tag long, removed binary")
 
 
 def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
-    """(key, removed): documents with removed bytes, and their ranges [start, end) as packed longs."""
+    """(key, tag, removed): documents with removed bytes, by key and xxhash64 of the text, and their ranges [start, end) as packed longs."""
     spark = docs.sparkSession
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.filter(F.col(key).isNotNull() & (F.octet_length(text) >= span)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = docs.filter(F.col(key).isNotNull() & (F.octet_length(text) >= span)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
+    number, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     copies = written(_copies(rows), "copies")
-    runs = written(_candidates(rows, _shared_anchors(rows, parts, span), copies.select("key"), parts, span), "runs")
+    by_doc = written(_shared_anchors(rows, parts, span).groupBy("key").agg(F.collect_list("anchors").alias("shared")).join(copies.groupBy("key").agg(F.collect_set("tag").alias("whole")), "key", "left"), "anchors")
+    _release(spark)
+    hot = spark.sparkContext.broadcast(_hot(by_doc, number))
+    runs = written(_candidates(rows, by_doc, hot, parts, span), "runs")
     _release(spark)
-    whole = copies.select("key", F.concat(_long(F.lit(0)), _long("n")).alias("removed"))
-    found = written(_ranges(runs, _sources(runs, span), span).unionByName(whole), "removed")
+    whole = copies.select("key", "tag", F.concat(_long(F.lit(0)), _long("n")).alias("removed"))
+    found = written(_ranges(runs, _sources(runs, span), span).unionByName(whole).dropDuplicates(["key", "tag"]), "removed")
     _release(spark)
     return found
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(key, n): texts of n bytes that a smaller key has too, by SHA-256. Only digests move.
+    """(key, tag, n): texts of n bytes that a smaller key has too, by SHA-256. Only digests move.
 
     The groups are written before they meet the rows, so that Spark can split the rows of a digest that many share.
     """
-    own = rows.select("key", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    own = rows.select("key", "tag", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     least = written(own.groupBy("sha").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("sha", "least"), "groups")
-    return own.join(least, "sha").filter("key > least").select("key", "n").distinct()
+    return own.join(least, "sha").filter("key > least").select("key", "tag", "n").distinct()
 
 
 def _long(n) -> Column:
@@ -526,7 +596,7 @@ def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = removed_ranges(docs, span=span).withColumnRenamed("key", "doc_id")
-    return docs.select("doc_id", "text").join(found, "doc_id", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).join(found, ["doc_id", "tag"], "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
@@ -549,8 +619,8 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int =
                 out[counted] = pa.array([None if t is None else len(t) for t in texts], batch.column(counted).type)
             yield pa.RecordBatch.from_arrays(out, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    found = removed_ranges(docs, key, text, span).select(F.col("key").alias("__key"), F.col("removed").alias("__removed"))
-    joined = docs.join(found, docs[key] == F.col("__key"), "left").select(*[docs[c] for c in columns], "__removed")
+    found = removed_ranges(docs, key, text, span).select(F.col("key").alias("__key"), F.col("tag").alias("__tag"), F.col("removed").alias("__removed"))
+    joined = docs.join(found, (docs[key] == F.col("__key")) & (F.xxhash64(docs[text]) == F.col("__tag")), "left").select(*[docs[c] for c in columns], "__removed")
     return joined.mapInArrow(run, docs.schema)
 
 

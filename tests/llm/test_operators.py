@@ -85,6 +85,49 @@ def test_suffix_dedup(spark, folder):
     assert {k: v[:4] for k, v in got.items()} == said
 
 
+def test_suffix_dedup_long_and_hot(spark, tmp_path, monkeypatch):
+    """A text of several buffers, and every shared anchor taken for hot; repeated and null keys."""
+    from papyra.llm import suffix
+
+    monkeypatch.setattr(suffix, "HOT", 2)
+    monkeypatch.setattr(suffix, "SAMPLED", 2)
+    rng = random.Random(8)
+    long = " ".join(f"v{rng.randrange(90_000)}" for _ in range(110_000))
+    assert len(long) > suffix.BUFFER * 1.2
+    docs = [(3, long), (9, long[len(long) // 2 - 400 :] + " tail"), (5, "head " + long[suffix.BUFFER - 200 : suffix.BUFFER + 300])]
+    docs += [(20 + i, f"own {i} " + PASSAGE + f" {i * 77} end") for i in range(40)]
+    other = "another text of nine " + PASSAGE
+    said = brute.op1([*docs, (10, other)])  # no document has 10: it stands for the other text of 9
+    docs += [(None, PASSAGE), (30, docs[13][1]), (9, other)]
+    assert docs[13][0] == 30
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.QUERIES["op1_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(docs)
+    assert [tuple(r)[1:5] for r in rows if r[0] is None] == [(len(PASSAGE), 0, 0, brute.sha(PASSAGE.encode()))]
+    assert sorted(tuple(r)[1:5] for r in rows if r[0] == 9) == sorted([said.pop(9), said.pop(10)])
+    assert {r[0]: tuple(r)[1:5] for r in rows if r[0] not in (None, 9)} == said
+
+
+def test_suffix_sort_decides(monkeypatch):
+    """Which strings are equal follows from their order: without the sort the result is another."""
+    import numpy as np
+
+    from papyra.llm import suffix
+
+    rng = random.Random(2)
+    data = ["".join(rng.choice("ab") for _ in range(20)) + "common start of many lines " + rng.choice(["one end of the line here", "quite another end of it"]) * 2 for _ in range(60)]
+    data = [d.encode() for d in dict.fromkeys(data)]
+    least = np.array(rng.sample(range(1000), len(data)))
+    first: dict = {}
+    for d, k in zip(data, least.tolist(), strict=True):
+        for i in range(len(d) - 49):
+            first[d[i : i + 50]] = min(k, first.get(d[i : i + 50], k))
+    said = [first[d[i : i + 50]] for d in data for i in range(len(d) - 49)]
+    assert suffix.smallest_sources(data, least)[0].tolist() == said
+    monkeypatch.setattr(suffix, "suffix_sort", lambda raw, starts, segment, limit: np.arange(len(starts)))
+    assert suffix.smallest_sources(data, least)[0].tolist() != said
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_with_sql(spark, folder, name):
     from ..conftest import duck_over
