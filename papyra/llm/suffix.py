@@ -12,7 +12,7 @@ Exact copies are settled first, on digests: all but the smallest key lose their
    several contents share.
 2. Candidates: the strings under shared anchors form runs of neighbouring strings. Each task sends each distinct run once,
    with its smallest document; equal runs are told by their bytes. The runs of a hot anchor, one that many documents share (by
-   a sample that sets routes only), are cut again by a second anchor, so that they spread over many parts.
+   a sample that sets routes only), are cut again by further, shorter anchors, so that they spread over many parts.
 3. Suffix sort: per part, string starts of distinct runs are merge-sorted as suffixes, from buckets of their first 16 bytes.
    Prefix polynomial hashes and binary search find how far two suffixes agree, so a comparison takes log2(SPAN) steps.
    Neighbours in the order that agree on SPAN bytes, verified byte by byte, are one string: a collision removes nothing. Before
@@ -56,6 +56,9 @@ PART = 6 << 20
 HOT = 2048
 SPREAD = 10_000
 SAMPLED = 32
+#: Further anchors of hot runs: short, so that they soon lie in what differs between documents.
+ROUTE = 4
+SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _power: dict[str, np.ndarray] = {}
@@ -382,16 +385,18 @@ def _inside(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _spread(text: np.ndarray, k: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(route, start, count): the runs of hot anchors cut by second anchors, the others as they are."""
+    """(route, start, count): the runs of hot anchors cut by further anchors, the others as they are."""
     some = _inside(hot, k)
     if not some.any():
         return k, start, count
-    n = count[some] + span - 1
-    at = np.cumsum(n) - n
-    second, first, number = anchors(text[expand(start[some], n)], at, at + n, span, salt=BASE)
-    of = np.searchsorted(at + n, first, "right")
-    route = k[some][of] ^ (second >> np.uint64(16))
-    return np.append(k[~some], route), np.append(start[~some], first - at[of] + start[some][of]), np.append(count[~some], number)
+    route, s, c = k[some], start[some], count[some]
+    for salt in SALTS:
+        n = c + span - 1
+        at = np.cumsum(n) - n
+        more, first, c = anchors(text[expand(s, n)], at, at + n, span, ROUTE, salt)
+        of = np.searchsorted(at + n, first, "right")
+        route, s = route[of] ^ (more >> np.uint64(16)), first - at[of] + s[of]
+    return np.append(k[~some], route), np.append(start[~some], s), np.append(count[~some], c)
 
 
 def _candidates(docs: DataFrame, by_doc: DataFrame, hot: Broadcast, parts: int, span: int) -> DataFrame:
