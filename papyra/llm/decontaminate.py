@@ -5,22 +5,27 @@ is streamed over each document; the state and the longest matching length tell a
 runs of words that occur in some item are streamed: any other word resets the automaton.
 
 Items are a stated query set, and every document is run against all of it. Its size is measured first. Up to ITEM_BYTES it is
-broadcast whole, its automata built in blocks of BLOCK_WORDS words; a larger set is dealt into parts of about that size, one
-pass over the documents each, with what was found so far written in between. So neither the driver nor a worker ever holds
-more than a part, however long the benchmark is.
+broadcast whole, its automata built in blocks of BLOCK_WORDS words and then kept as flat arrays, once in each worker process;
+a larger set is dealt into parts of about that size, one pass over the documents each, with what was found so far written in
+between. So neither the driver nor a worker ever holds more than a part, however long the benchmark is.
 
 Defined results: null or empty texts have no words and no hits; items without words have no windows; repeated items all
-count; null item ids are skipped.
+count; an item without id has windows, whose words are hit, but is not listed or counted among the items; rows that repeat a
+document are judged one by one; without documents there are no rows, without items no hits.
 """
 
 from __future__ import annotations
 
 import hashlib
 import string
+import uuid
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,33 +46,56 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences; items[state] has the items in which the state's strings occur."""
+    """Suffix automaton of several word sequences, in flat arrays: transitions as sorted (state, word) keys with their targets;
+    for states that hold a window, the items in which it occurs."""
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
+        self.names = [item for item, _ in items]
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        self.items: list[set] = [set()]
-        ends: list[tuple[int, object, int]] = []
-        for item, sequence in items:
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        last: list[tuple[int, int, int]] = []
+        starts: dict[int, list[int]] = {}
+        for number, (_, sequence) in enumerate(items):
             state = 0
-            for w in sequence:
+            for i, w in enumerate(sequence, 1):
                 state = self._extend(state, self.vocab.setdefault(w, len(self.vocab)))
-                self.items[state].add(item)
+                if i >= window:
+                    starts.setdefault(state, []).append(number)
             if sequence and len(sequence) < window:
-                ends.append((state, item, len(sequence)))
-        for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            self.items[self.link[s]] |= self.items[s]
+                last.append((state, number, len(sequence)))
+        self._hold(starts)
         # whole items shorter than a window: the state in which they end, and for each state its nearest suffix of that kind
-        self.short: list[dict[int, set]] = [{} for _ in self.link]
-        for state, item, n in ends:
-            self.short[state].setdefault(n, set()).add(item)
-        self.up = [-1] * len(self.link)
-        for s in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
+        self.short: dict[int, dict[int, set[int]]] = {}
+        for state, number, n in last:
+            self.short.setdefault(state, {}).setdefault(n, set()).add(number)
+        self.up = array("i", [-1]) * len(self.link)
+        for s in sorted(range(1, len(self.link)), key=self.length.__getitem__) if last else ():
             p = self.link[s]
-            self.up[s] = p if p >= 0 and self.short[p] else self.up[p] if p >= 0 else -1
-        self.shortest = min([window, *(n for _, _, n in ends)])
+            self.up[s] = p if p in self.short else self.up[p] if p >= 0 else -1
+        self.shortest = min([window, *(n for _, _, n in last)])
+        self._freeze()
+
+    def _hold(self, starts: dict[int, list[int]]) -> None:
+        """held[at[s]:at[s + 1]]: the items under s, for the states whose strings of a window's length occur there."""
+        of: dict[int, set[int]] = {s: set(x) for s, x in starts.items()}
+        for s in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
+            if s in of and self.length[p := self.link[s]] >= self.window:
+                of.setdefault(p, set()).update(of.pop(s))
+        self.at, self.held = array("i", [0]), array("i")
+        for s in range(len(self.link)):
+            self.held.extend(sorted(of.get(s, ())))
+            self.at.append(len(self.held))
+
+    def _freeze(self) -> None:
+        """Dictionaries of transitions become two arrays; a key is the state above the word's 32 bits."""
+        n = np.fromiter(map(len, self.next), np.int64, len(self.next))
+        keys = np.fromiter((w for d in self.next for w in d), np.int64, int(n.sum())) | np.repeat(np.arange(len(n)) << 32, n)
+        to = np.fromiter((t for d in self.next for t in d.values()), np.int32, len(keys))
+        order = np.argsort(keys)
+        self.keys, self.to = array("q", keys[order].tobytes()), array("i", to[order].tobytes())
+        del self.next
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -89,7 +117,6 @@ class Automaton:
         self.next.append(following)
         self.link.append(-1)
         self.length.append(length)
-        self.items.append(set())
         return len(self.next) - 1
 
     def _clone(self, p: int, w: int, q: int) -> int:
@@ -114,27 +141,33 @@ class Automaton:
 
     def _stream(self, ids: list[int], base: int, spans: list[tuple[int, int]], found: set) -> None:
         state = matched = 0
-        nxt, link, length, w = self.next, self.link, self.length, self.window
+        keys, to, link, length, w, end = self.keys, self.to, self.link, self.length, self.window, len(self.keys)
         for i, x in enumerate(ids, base + 1):
-            while state and x not in nxt[state]:
+            while True:
+                key = state << 32 | x
+                j = bisect_left(keys, key)
+                if j < end and keys[j] == key:
+                    state = to[j]
+                    matched += 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 matched = length[state]
-            if x in nxt[state]:
-                state = nxt[state][x]
-                matched += 1
             if matched >= w:
                 while length[link[state]] >= w:  # the matched string is now its suffix of at least a window
                     state = link[state]
                     matched = length[state]
                 spans.append((i - w, i))
-                found |= self.items[state]
-            s = state
-            while s > 0:
-                for n, of in self.short[s].items():
-                    if n <= matched:
-                        spans.append((i - n, i))
-                        found |= of
-                s = self.up[s]
+                found.update(self.names[n] for n in self.held[self.at[state] : self.at[state + 1]])
+            if self.short:
+                s = state if state in self.short else self.up[state]
+                while s > 0:
+                    for n, of in self.short[s].items():
+                        if n <= matched:
+                            spans.append((i - n, i))
+                            found.update(self.names[k] for k in of)
+                    s = self.up[s]
 
 
 class Scanner:
@@ -157,6 +190,7 @@ class Scanner:
         found: set = set()
         for a in self.automata:
             a.scan(tokens, spans, found)
+        found.discard(None)
         return merged(spans), found
 
 
@@ -171,16 +205,15 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(rows: DataFrame, window: int):
-    shared = rows.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows.collect()])
-    held: list[Scanner] = []
+_held: dict[tuple[str, int], Scanner] = {}
 
-    def get() -> Scanner:
-        if not held:
-            held.append(Scanner(shared.value, window))
-        return held[0]
 
-    return get
+def _scanner(token: str, shared: Broadcast, window: int) -> Scanner:
+    """The scanner of a set of items, built once in a process; only the latest is kept."""
+    if (token, window) not in _held:
+        _held.clear()
+        _held[token, window] = Scanner(shared.value, window)
+    return _held[token, window]
 
 
 _FOUND = (("__spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("__items", pa.list_(pa.string())))
@@ -188,7 +221,7 @@ _FOUND = (("__spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int6
 
 def _scan(docs: DataFrame, items: DataFrame, text: str, window: int, item_bytes: int, finish, schema) -> DataFrame:
     """finish(batch, words of each text, hit runs, items as strings) over docs' batches, after as many passes as the items need."""
-    rows = items.filter(F.col("item_id").isNotNull()).select("item_id", "text")
+    rows = items.select("item_id", "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     parts = max(1, -(-total // item_bytes))
     width, at = len(docs.columns), docs.columns.index(text)
@@ -204,9 +237,11 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, window: int, item_bytes:
             found.append({*map(str, of), *seen})
         return counts, spans, found
 
-    def one_pass(get, last: bool):
+    def one_pass(mine: DataFrame, last: bool):
+        token, shared = uuid.uuid4().hex, mine.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = get()
+            scanner = _scanner(token, shared, window)
             for batch in batches:
                 counts, spans, found = looked(batch, scanner)
                 own = pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
@@ -221,9 +256,9 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, window: int, item_bytes:
     scanned = docs
     between = T.StructType([*docs.schema.fields, T.StructField("__spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("__items", T.ArrayType(T.StringType()))])
     for part in range(parts):
-        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        mine = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         last = part == parts - 1
-        scanned = scanned.mapInArrow(one_pass(_scanner(mine, window), last), schema if last else between)
+        scanned = scanned.mapInArrow(one_pass(mine, last), schema if last else between)
         scanned = scanned if last else written(scanned, "scanned")
     return scanned
 
@@ -278,7 +313,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLE = f"""
 WITH tokens AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 cut AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM cut),
 placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tokens),
@@ -286,7 +321,7 @@ spots AS (SELECT r, i, word, {", ".join(f"lead(word, {j}) OVER o AS w{j}" for j
 grams AS ({" UNION ALL ".join(f"SELECT r, i, {n} AS n, word{''.join(f" || ' ' || w{j}" for j in range(1, n))} AS gram FROM spots" for n in range(1, WINDOW + 1))}),
 hits AS (SELECT r, item_id, i, n FROM grams JOIN windows USING (n, gram)),
 words_hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
-found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r)
+found AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(said, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM tokens LEFT JOIN words_hit USING (r) LEFT JOIN found USING (r)

@@ -100,6 +100,7 @@ def op9(docs: list[tuple], items: list[tuple], window: int = 10) -> dict:
                 if of:
                     found |= of
                     hit[i : i + n] = [True] * n
+        found.discard(None)
         out[k] = (len(w), sum(hit), len(found), sha(",".join(sorted(map(str, found))).encode()), any(hit))
     return out
 
