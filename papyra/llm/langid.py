@@ -7,7 +7,8 @@ classes to the longest context that any tree holds, and that context's code leng
 one text needs two array look-ups a byte.
 
 Defined results: null, empty and letterless texts are `und` with score 0; ties go to the language that sorts first; with
-no labelled rows every text is `und`; long texts are scored in pieces that carry their context.
+no labelled rows every text is `und`; long texts are scored in pieces that carry their context; rows that
+repeat a key are judged one by one; every language that a label names is learnt, and the model grows with their number.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from papyra.llm.common import blocks, table, tidy
 #: About so many labelled rows of each language are learnt from; MAX_CONTEXTS bounds the frozen trees.
 SAMPLE_ROWS = 1500
 MAX_CONTEXTS = 16384
-MAX_LANGUAGES = 256
+#: The sample is drawn by hashed keys, in steps of one in RATE.
+RATE = 1 << 40
 MIN_COUNT = 2
 ORDER = 3
 BLOCK = 1 << 19
@@ -81,11 +83,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learns from rows (key, text, lang). The sample of each language is the rows whose hashed key lies below a rate."""
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col(key).alias("key"), "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_rows / n) * 1_000_000))])
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.element_at(rate, F.col("lang")))
+    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, sample_rows / n) * RATE))])
+    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(RATE)) < F.element_at(rate, F.col("lang")))
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     langs = np.array(counts.column("lang").to_pylist(), dtype=object)
     code, n = counts.column("code").to_numpy(), counts.column("n").to_numpy()
