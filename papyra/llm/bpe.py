@@ -4,8 +4,8 @@ Texts are cut by the tokenizer's pattern with array operations on code points, e
 and the pieces of one length form one matrix. Every round finds each row's leftmost pair of minimum rank through a hashed
 pair table, merges it, and drops the rows that have no pair left.
 
-Defined results: a null or empty text has no tokens (hash of the empty string twice); long texts are processed in pieces
-cut where a token always ends, so memory does not grow with the text; repeated rows give repeated results; other columns
+Defined results: a null or empty text has no tokens (hash of the empty string twice); long texts are encoded in pieces
+cut where a token always ends, so the encoder's work space does not grow with the text (the text itself is held whole); repeated rows give repeated results; other columns
 of the input are ignored.
 """
 
@@ -200,8 +200,11 @@ class Codec:
             self.inverse = np.cumprod(np.append(np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)))
         return self.powers, self.inverse
 
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the texts one after the other, and each text's count."""
+    def encode_block(self, texts: list[str], exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the texts one after the other, and each text's count.
+
+        Equal pieces are found by hash. Every piece's ids are decoded and compared with its bytes; if hashes ever collide, the
+        block is encoded again with pieces told apart by their bytes (exact)."""
         code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         code = np.insert(code, np.cumsum(lengths), np.uint32(sys.maxunicode + 1))
@@ -218,10 +221,10 @@ class Codec:
         prefix = np.append(np.uint64(0), np.cumsum(self.byte_value[raw] * powers[: len(data)]))
         key = (prefix[end] - prefix[begin]) * inverse[begin]
         wide: dict[bytes, int] = {}
-        for i in np.flatnonzero(end - begin > 64):  # long pieces are told apart by their bytes
+        for i in np.flatnonzero((end - begin > 64) | exact):  # long pieces are told apart by their bytes
             key[i] = wide.setdefault(data[begin[i] : end[i]], len(wide))
         key, first, which = np.unique(key, return_index=True, return_inverse=True)
-        short = end[first] - begin[first] <= 64
+        short = (end[first] - begin[first] <= 64) & (not exact)
         at_seen = np.searchsorted(self.seen, key)
         old = short & (at_seen < len(self.seen))
         old[old] = self.seen[at_seen[old]] == key[old]
@@ -232,6 +235,9 @@ class Codec:
         counts[old], of[old] = self.seen_n[at_seen[old]], self.seen_at[at_seen[old]]
         per_token = counts[which]
         flat = np.append(self.seen_ids, ids)[expand(of[which], per_token)]
+        taken = np.append(0, np.cumsum(self.piece_len[flat]))[np.append(0, np.cumsum(per_token))]
+        if not exact and not (np.array_equal(taken[1:], end) and self.decode(flat) == data):
+            return self.encode_block(texts, True)
         keep = short[~old]
         self._remember(key[~old][keep], new_counts[keep], ids[expand(new_of[keep], new_counts[keep])])
         bounds = np.searchsorted(starts, np.append(0, np.cumsum(lengths + 1)))

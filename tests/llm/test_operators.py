@@ -157,6 +157,21 @@ def test_byte_bpe(spark, folder):
         assert got[k] == (len(ids), brute.sha(b"".join(i.to_bytes(4, "little") for i in ids)), brute.sha((t or "").encode())), repr(t)[:80]
 
 
+def test_byte_bpe_collisions():
+    """Pieces whose hashes collide are told apart by their bytes."""
+    import numpy as np
+    import public_tokenizers
+
+    from papyra.llm.bpe import Codec
+
+    good, bad = (Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) for _ in range(2))
+    bad.byte_value = np.zeros_like(bad.byte_value)
+    texts = [t for t in HARD if t] + ["many unlike words of one length here", "more of them"]
+    for _ in range(2):
+        (a, n), (b, m) = good.encode_block(texts), bad.encode_block(texts)
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+
+
 def test_shards(spark, folder):
     got = result(spark, "op4_shards", folder)
     rows = pairs(spark, folder)
