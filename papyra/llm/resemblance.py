@@ -6,7 +6,8 @@ rest follows from prefix filtering, which misses none: two sets that are so alik
 members of each, in any order that all sets use. The order puts members that are common in a sample last, which keeps the
 groups small and changes no result. Only sets of different classes that meet under such a member are compared: first by
 parity maps (map bit h mod B is the parity of the members there, so two maps differ in no more bits than the sets in
-members, and pairs that differ in too many cannot be alike), then exactly. Whole sets are made again from the texts, for
+members, and pairs that differ in too many cannot be alike), a small one of 512 bits in the join and one as large as the set
+after it, then exactly. Whole sets are made again from the texts, for
 compared pairs only.
 
 Of a large group, about PIVOTS members at first meet the others: those whose hash is small for the group's size, so none
@@ -40,10 +41,15 @@ COMMON = 50_000
 #: In groups of at most PIVOTS sets all meet at once; in larger ones about so many meet the others at first.
 PIVOTS = 64
 GROWTH = 64
+#: Longs of the small parity map that goes with each member of a group.
+SKETCH = 8
 #: Characters of text whose sets a worker holds at once; a longer text stands alone.
 BLOCK = 1 << 20
 
 
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
+
+
 def members(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
     w = (text or "").encode().lower().split()
@@ -83,6 +89,12 @@ def unlike(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A parity map of 64 * SKETCH bits for a set of any size, as longs."""
+    counts = np.bincount(own & (64 * SKETCH - 1), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _node(own: np.ndarray) -> int:
     """The set's number, as a signed long."""
     n = xxhash.xxh64_intdigest(own.tobytes(), 7)
@@ -108,7 +120,7 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, n, first, map, fp): the set's number, size, prefix, parity map and fingerprint."""
+    """(key, node, n, first, map, fp, sketch): the set's number, size, prefix, parity map, fingerprint and small parity map."""
     rate = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +140,10 @@ def shingled(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch in (part for whole in batches for part in _blocks(whole, 1)):
             sets = [members(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array(list(map(_node, sets)), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists([prefix(s, last, rank) for s in sets]), pa.array([parity(s) for s in sets], pa.binary()), pa.array(list(map(fingerprint, sets)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "first", "map", "fp"])
+            columns += [pa.array(c, pa.int64()) for c in np.stack([sketch(s) for s in sets]).T] if sets else [pa.array([], pa.int64())] * SKETCH
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "first", "map", "fp", *_SKETCH])
 
-    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, node long, n long, first array<long>, map binary, fp long")
+    return docs.select(key, text).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, node long, n long, first array<long>, map binary, fp long, {', '.join(f"{c} long" for c in _SKETCH)}")
 
 
 def screened(pairs: DataFrame, maps: DataFrame) -> DataFrame:
@@ -179,7 +192,7 @@ def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component): the smallest key reachable over texts that are alike. candidates: pairs (a, b) of nodes to try first, of (node, fp)."""
     own = written(shingled(docs, key, text), "shingles")
-    sets = written(own.groupBy("node").agg(F.min("key").alias("name"), *[F.first(c).alias(c) for c in ("n", "first", "map", "fp")]), "sets")
+    sets = written(own.groupBy("node").agg(F.min("key").alias("name"), *[F.first(c).alias(c) for c in ("n", "first", "map", "fp", *_SKETCH)]), "sets")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def linked(of: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -187,8 +200,8 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
         return _merged(of, alike(pairs, sets, texts)) if pairs.limit(1).count() else of
 
     of = linked(sets.select("node", F.col("name").alias("component")), candidates(sets.select("node", "fp")))
-    keyed = sets.select("node", "n", F.explode("first").alias("k"))
-    met = written(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1"), "k").select("k", "node", "n", "size"), "groups")
+    keyed = sets.select("node", "n", *_SKETCH, F.explode("first").alias("k"))
+    met = written(keyed.join(sets.select(F.explode("first").alias("k")).groupBy("k").agg(F.count("*").alias("size")).filter("size > 1"), "k").select("k", "node", "n", "size", *_SKETCH), "groups")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
     tried, upto = 0, PIVOTS
     while True:
@@ -197,8 +210,10 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
         live = written(placed.join(several, "k"), "live")
         if not live.limit(1).count():
             break
-        pivots = live.filter((place >= tried) & (place < upto)).select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        meet = pivots.join(live, "k").filter((F.col("component") != F.col("pc")) & (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")))
+        pivots = live.filter((place >= tried) & (place < upto)).select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), *[F.col(c).alias(f"p{c}") for c in _SKETCH])
+        apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in _SKETCH), F.lit(0))
+        close = (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")) & ((ALIKE + OF) * apart <= (OF - ALIKE) * (F.col("n") + F.col("pn")))
+        meet = pivots.join(live, "k").filter((F.col("component") != F.col("pc")) & close)
         of = linked(of, meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
         tried, upto = upto, upto * GROWTH
     return own.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component")
