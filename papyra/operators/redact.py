@@ -54,9 +54,10 @@ def word_pattern(words: list[str], regex: bool = False, whole_word: bool = False
     return p if match_case else "(?i)" + p
 
 
-def redact(docs: DataFrame, pattern: str, mask: str = "█") -> DataFrame:
+def redact(docs: DataFrame, pattern: str | Column, mask: str = "█") -> DataFrame:
     """docs with every match covered, character by character, and n_redacted."""
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = F.regexp_extract_all("text", pattern, F.lit(0))
     between = F.split("text", pattern, -1)
     covered = F.transform(found, lambda m: F.regexp_replace(m, "(?s).", mask))
     joined = F.array_join(F.flatten(F.zip_with(between, covered, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
@@ -118,19 +119,30 @@ class Options:
 
 
 def run(docs: DataFrame, options: Options) -> DataFrame:
-    """Words, patterns and dictionary entries, in that order, each pass on the last one's text; counts by kind and in all."""
-    out, counts = docs, []
-    passes: list[tuple[str, str]] = []
-    if options.words:
-        passes.append(("n_words", word_pattern(list(options.words), whole_word=options.whole_word, match_case=options.match_case)))
-    if options.categories:
-        passes.append(("n_patterns", "|".join(f"(?:{p})" for p in select(*options.categories).values())))
+    """docs with the words covered that are asked for, that match a category or that are entities: the union of a document's words, in one pass.
+
+    Card numbers need a right check digit; entities stand between other characters than ASCII letters and digits. n_patterns
+    and n_entities count what was found, n_words what was covered, n_redactions all three. Metadata keys concern no text.
+    """
+
+    def texts(spans: Column) -> Column:
+        return F.transform(spans, lambda m: m.text)
+
+    text = F.col("text")
+    cards = [F.filter(texts(match_spans(text, p)), lambda t: luhn(t)) if k == "credit_card" else texts(match_spans(text, p)) for k, p in (select(*options.categories).items() if options.categories else ())]
+    named = F.lit(None).cast("array<string>")
     if options.dictionary:
-        passes.append(("n_entities", word_pattern(list(options.dictionary), whole_word=True)))
-    for name, pattern in passes:
-        out = redact(out, pattern, options.mask).withColumnRenamed("n_redacted", name)
-        counts.append(F.col(name))
-    return out.withColumn("n_redactions", sum(counts, F.lit(0).cast("long")))
+        keys = sorted({k.lower() for k in options.dictionary}, key=lambda k: (-len(k), k))
+        named = texts(match_spans(F.lower(text), f"(?<![a-z0-9])(?:{'|'.join(map(escaped, keys))})(?![a-z0-9])"))
+    none = F.array().cast("array<string>")
+    found = docs.withColumns({"__found": F.coalesce(F.flatten(F.array(*cards)), none) if cards else none, "__named": F.coalesce(named, none)})
+    words = F.array_distinct(F.concat(F.array(*map(F.lit, options.words)).cast("array<string>"), "__found", "__named"))
+    longest = F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    pattern = F.array_join(F.transform(longest, lambda w: F.regexp_replace(w, r"([\\.\[\]{}()*+?^$|])", r"\\$1")), "|")
+    edge, flag = r"\b" if options.whole_word else "", "" if options.match_case else "(?i)"
+    ready = found.withColumn("__pattern", F.when(F.size(words) > 0, F.concat(F.lit(f"{flag}{edge}(?:"), pattern, F.lit(f"){edge}"))).otherwise(F.lit(r"(?!)")))
+    out = redact(ready, F.col("__pattern"), options.mask).withColumns({"n_words": F.coalesce("n_redacted", F.lit(0).cast("long")), "n_patterns": F.size("__found").cast("long"), "n_entities": F.size("__named").cast("long")})
+    return out.withColumn("n_redactions", F.col("n_words") + F.col("n_patterns") + F.col("n_entities")).drop("n_redacted", "__found", "__named", "__pattern")
 
 
 # -- pending marks

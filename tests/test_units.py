@@ -98,10 +98,19 @@ def test_coreferences(spark):
 def test_redaction_leaves_nothing_to_match(spark):
     docs = spark.createDataFrame([(1, "mail a.b@c.org or 10.0.0.1, keep this"), (2, None), (3, "")], "doc_id long, text string")
     out = {r.doc_id: r for r in redact.run(docs, redact.Options(words=("mail",), categories=("email", "ipv4"), mask="#")).collect()}
-    assert out[1].text == "#### ######### or ########, keep this" and out[1].n_redactions == 3
+    # what patterns and entities find is counted as found and, with the words, as covered
+    assert out[1].text == "#### ######### or ########, keep this" and (out[1].n_words, out[1].n_patterns, out[1].n_redactions) == (3, 2, 5)
     assert out[3].text == "" and len(out[1].text) == len("mail a.b@c.org or 10.0.0.1, keep this")
 
 
+def test_redaction_of_cards_and_entities(spark):
+    docs = spark.createDataFrame([(1, "4111 1111 1111 1112"), (2, "4111 1111 1111 1111"), (3, "an Acme_Acme2 and (acme)")], "doc_id long, text string")
+    out = {r.doc_id: r for r in redact.run(docs, redact.Options(categories=("credit_card",), dictionary={"Acme": "ORG"}, mask="#")).collect()}
+    assert (out[1].text, out[1].n_redactions) == ("4111 1111 1111 1112", 0)  # the check digit is wrong
+    assert out[2].text == "#" * 19 and out[2].n_patterns == 1
+    assert out[3].n_entities == 2 and out[3].text == "an ####_####2 and (####)"  # found words are covered wherever they stand
+
+
 def test_page_orders_are_permutations(spark):
     pages = spark.createDataFrame([(d, p) for d, n in ((1, 5), (2, 1), (3, 2)) for p in range(n)], "doc_id long, page_index int")
     for out in (compose.reverse(pages), compose.swap(pages, 0, 3), compose.move_range(pages, 1, 2, 9), compose.move_range(pages, 3, 4, 0)):
