@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, tidy, written
+from papyra.llm.common import blocks, release, tidy, written
 from papyra.llm.graph import components
 
 SHINGLE = 5
@@ -197,7 +197,10 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
 
     def linked(of: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs = written(screened(pairs, sets), "pairs")
-        return _merged(of, alike(pairs, sets, texts)) if pairs.limit(1).count() else of
+        if pairs.limit(1).count():
+            of = _merged(of, alike(pairs, sets, texts))
+        release(docs.sparkSession)
+        return of
 
     of = linked(sets.select("node", F.col("name").alias("component")), candidates(sets.select("node", "fp")))
     keyed = sets.select("node", "n", *_SKETCH, F.explode("first").alias("k"))

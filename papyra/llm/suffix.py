@@ -30,9 +30,7 @@ no rows.
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +41,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, expand, table, tidy, written
+from papyra.llm.common import blocks, expand, release, table, tidy, written
 
 SPAN = 50
 KGRAM = 20
@@ -538,13 +536,13 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     copies = written(_copies(rows), "copies")
     by_doc = written(_shared_anchors(rows, parts, span).groupBy("key").agg(F.collect_list("anchors").alias("shared")).join(copies.groupBy("key").agg(F.collect_set("tag").alias("whole")), "key", "left"), "anchors")
-    _release(spark)
+    release(spark)
     hot = spark.sparkContext.broadcast(_hot(by_doc, number))
     runs = written(_candidates(rows, by_doc, hot, parts, span), "runs")
-    _release(spark)
+    release(spark)
     whole = copies.select("key", "tag", F.concat(_long(F.lit(0)), _long("n")).alias("removed"))
     found = written(_ranges(runs, _sources(runs, span), span).unionByName(whole).dropDuplicates(["key", "tag"]), "removed")
-    _release(spark)
+    release(spark)
     return found
 
 
@@ -564,14 +562,6 @@ def _long(n) -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(8)]))
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of what has been written."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def _kept(raw: memoryview, packed: bytes | None) -> tuple[list[memoryview], int, int]:
     """The remaining pieces, the bytes removed and the number of maximal runs."""
     if not packed:
