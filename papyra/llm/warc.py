@@ -12,8 +12,8 @@ revisit records that refer to it. Which these are is settled on digests alone, b
 digests are joined with the pages.
 
 Defined results: null payloads are empty; empty payloads are payloads like any other; repeated rows give repeated records,
-of any size; a page without identifier
-is a revisit of an equal one that has an identifier, and is kept with an empty id; no pages give no records.
+of any size; a page without identifier is a revisit of an equal one that has an identifier, and is kept with an empty id; no
+pages give no records.
 """
 
 from __future__ import annotations
