@@ -1,4 +1,4 @@
-"""Annotations, forms, bookmarks, layers, labels and attachments as tables, and their exchange formats."""
+"""Annotations, forms, bookmarks, layers and labels as tables, and annotations as XFDF."""
 
 from __future__ import annotations
 
