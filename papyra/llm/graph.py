@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import written
+from papyra.llm.common import release, written
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -14,6 +14,7 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
     nodes = both.select(F.col("a").alias("fp")).distinct()
     state = written(names.join(nodes, "fp", "left_semi").select("fp", F.col("name").alias("c")), "labels")
     while True:
+        release(links.sparkSession)
         # hook: the smallest label among the neighbours; the label's own holder takes it too, then labels jump once
         offered = both.join(state.select(F.col("fp").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
         hooked = state.join(offered, state.fp == offered.a).select("fp", "c", F.least("c", "m").alias("m"))
