@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from papyra.plans import catalogue, object_queries  # noqa: F401
+from papyra.plans import catalogue, object_queries, reading_queries  # noqa: F401
 
 from .conftest import DATA, rows_of
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyra.functions import patterns, scalars
-from papyra.operators import analytics, compare, compose, detect, redact
+from papyra.operators import analytics, compare, compose, detect, reading, redact
 from papyra.streaming import ingest
 
 
@@ -132,3 +132,37 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination(120)
     said = lambda df: sorted(map(tuple, df.collect()))
     assert said(spark.table("windows")) == said(ingest.windows(events, "6 hours"))
+
+
+def test_headings_are_runs_of_one_size(spark):
+    long = "x" * 201
+    rows = [(0, 18.0, " Big "), (1, 18.3, "title"), (2, 16.0, "Sub"), (3, 12.0, "body"), (4, 16.0, "Next"), (5, 12.0, ""), (6, 16.0, "on"), (7, 12.0, "b"), (8, 14.0, " \t"), (9, 12.0, "b"), (10, 14.0, long)]
+    lines = spark.createDataFrame([(1, 0, i, size, text) for i, size, text in rows], "doc_id long, page_index int, line_index int, font_size double, text string")
+    got = sorted((r.line_index, r.title) for r in reading.heading_bookmarks(lines).collect())
+    assert got == [(0, "Big title"), (2, "Sub"), (4, "Nexton")]
+
+
+def test_lines_touching_an_area_are_outside(spark):
+    lines = spark.createDataFrame([(1, 0, i, 72, y, 60, 12, "t") for i, y in enumerate((700, 688, 676))], "doc_id long, page_index int, line_index int, x int, y int, width int, height int, text string")
+    area = "doc_id long, page_index int, left double, bottom double, right double, top double"
+    assert [r.line_index for r in reading.outside(lines, spark.createDataFrame([(1, 0, 80.0, 688.0, 90.0, 700.0)], area)).orderBy("line_index").collect()] == [0, 2]
+    assert reading.outside(lines, spark.createDataFrame([(1, 1, 0.0, 0.0, 900.0, 900.0)], area)).count() == 3
+    assert reading.outside(lines, spark.createDataFrame([], area)).count() == 3
+
+
+def test_tags_normal_forms_overlays_and_bookmarks(spark):
+    one = spark.range(1)
+    tag = reading.tag_xml(reading.heading_tag(F.lit(9)), F.lit(0), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit("a<'b'"))
+    assert one.select(tag).first()[0] == '<H6 page="0" x="1.0" y="2.0" w="3.0" h="4.0">a&lt;&apos;b&apos;</H6>'
+    bare = reading.tag_xml(F.lit("P"), F.lit(0), F.lit(1), F.lit(2), F.lit(3), F.lit(4), F.lit(None).cast("string"))
+    assert one.select(bare).first()[0] == '<P page="0" x="1.0" y="2.0" w="3.0" h="4.0"/>'
+    texts = spark.createDataFrame([(1, "e\u0301"), (2, None), (3, "")], "doc_id long, text string")
+    assert [r.text for r in reading.normalise(texts).orderBy("doc_id").collect()] == ["\u00e9", None, ""]
+    pages = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, page_index int")
+    over = spark.createDataFrame([(1, 0), (2, 0), (2, 1)], "doc_id long, page_index int")
+    got = sorted(tuple(r) for r in reading.insert_overlays(pages, over).collect())
+    assert got == [(1, 0, False, 0), (1, 1, True, 0), (1, 2, False, 1), (2, 0, False, 0), (2, 1, True, 0)]
+    marks = spark.createDataFrame([(1, 0, "a", 7), (1, 1, "b", -3)], "doc_id long, place int, title string, page_index int")
+    counts = spark.createDataFrame([(1, 4)], "doc_id long, n_pages long")
+    assert sorted((r.title, r.page_index) for r in reading.set_bookmarks(marks, counts).collect()) == [("a", 3), ("b", 0)]
+    assert one.select(reading.standard_font(F.lit("ABC+courier-bold")), reading.standard_font(F.lit("Arial"))).first()[:] == (True, False)
