@@ -143,3 +143,35 @@ def insert_overlays(pages: DataFrame, overlays: DataFrame) -> DataFrame:
     own = pages.join(many, "doc_id", "left").select("doc_id", (i + F.least(i, F.coalesce(n, F.lit(0)))).cast("int").alias("out_index"), F.lit(False).alias("overlay"), "page_index")
     over = overlays.join(pages, PAGE, "left_semi").select("doc_id", (2 * i + 1).cast("int").alias("out_index"), F.lit(True).alias("overlay"), "page_index")
     return own.unionByName(over)
+
+
+def annotations_json(annotations: DataFrame) -> DataFrame:
+    """(doc_id, json): the annotations of a document as one JSON array, by page and number."""
+    fields = F.struct("page_index", "annotation", "type", "contents", "x", "y", "width", "height")
+    return annotations.groupBy("doc_id").agg(F.to_json(F.sort_array(F.collect_list(fields))).alias("json"))
+
+
+def annotations_from_json(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Annotations of (doc_id, json); those on pages beyond counts (doc_id, n_pages) are skipped, and text that is no array gives none."""
+    schema = "array<struct<page_index int, annotation int, type string, contents string, x double, y double, width double, height double>>"
+    return rows.select("doc_id", F.inline(F.from_json("json", schema))).join(counts, "doc_id").filter("page_index >= 0 and page_index < n_pages").drop("n_pages")
+
+
+def add_attachments(attachments: DataFrame, added: DataFrame) -> DataFrame:
+    """attachments (doc_id, place, name, size) with added (doc_id, name, size) behind them, in order of name."""
+    have = attachments.groupBy("doc_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("name", "size")
+    behind = added.withColumn("k", F.row_number().over(w) - 1).join(have, "doc_id", "left").select("doc_id", (F.coalesce("n", F.lit(0)) + F.col("k")).cast("int").alias("place"), "name", "size")
+    return attachments.select("doc_id", "place", "name", "size").unionByName(behind)
+
+
+def delete_attachments(attachments: DataFrame, gone: DataFrame) -> DataFrame:
+    """attachments without the places of gone (doc_id, place); the later ones move up."""
+    left = attachments.join(gone, ["doc_id", "place"], "left_anti")
+    return left.withColumn("place", (F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).cast("int"))
+
+
+def find_destinations(documents: DataFrame, destinations: DataFrame, name: str) -> DataFrame:
+    """(doc_id, page_index): the page of each document's destination (doc_id, name, page_index) of that name, -1 without one."""
+    found = destinations.filter(F.col("name") == name).groupBy("doc_id").agg(F.min("page_index").alias("page_index"))
+    return documents.select("doc_id").join(found, "doc_id", "left").withColumn("page_index", F.coalesce("page_index", F.lit(-1)))

@@ -116,3 +116,32 @@ def overlay_pages(spark, sf_dir):
     p = page_numbers(spark, sf_dir)
     half = p.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("n") / 2).cast("int"))).alias("page_index"), "n").filter("page_index < n div 2").drop("n")
     return reading.insert_overlays(p, half)
+
+
+@register("annotation_json", f"WITH {ANNOTATIONS}, n AS (SELECT doc_id, count(*) AS n FROM pages_ GROUP BY doc_id) SELECT doc_id, (page_index + 1)::INT AS page_index, type, contents, x, height FROM ann JOIN n USING (doc_id) WHERE page_index + 1 < n")
+def annotation_json(spark, sf_dir):
+    """Every annotation, exported a page further on and imported again: those of last pages fall off."""
+    moved = annotations(spark, sf_dir).withColumn("page_index", F.col("page_index") + 1)
+    counts = page_numbers(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    return reading.annotations_from_json(reading.annotations_json(moved), counts).select("doc_id", "page_index", "type", "contents", "x", "height")
+
+
+@register(
+    "attachments_edit",
+    f"""WITH {LINES}, a AS (SELECT doc_id, line_index AS place, split_part(text, ' ', 1) AS name FROM lines WHERE line_index <> 1
+    UNION ALL SELECT doc_id, max(line_index) + 1, 'notes.txt' FROM lines GROUP BY doc_id)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS place, name FROM a""",
+)
+def attachments_edit(spark, sf_dir):
+    """Lines as attachments, named by their first words: one is added to each document, the second is deleted."""
+    have = lines_of(spark, sf_dir).select("doc_id", F.col("line_index").alias("place"), F.split_part("text", F.lit(" "), F.lit(1)).alias("name"), F.length("text").alias("size"))
+    ids = have.filter("place = 0").select("doc_id")
+    more = reading.add_attachments(have, ids.withColumns({"name": F.lit("notes.txt"), "size": F.lit(1)}))
+    return reading.delete_attachments(more, have.filter("place = 1").select("doc_id", "place")).select("doc_id", "place", "name")
+
+
+@register("destinations_find", f"WITH {PAGES} SELECT doc_id, CASE WHEN max(page_index) >= 1 THEN 1 ELSE -1 END::INT AS page_index FROM pages_ GROUP BY doc_id")
+def destinations_find(spark, sf_dir):
+    p = page_numbers(spark, sf_dir)
+    named = p.withColumn("name", F.concat(F.lit("p"), F.col("page_index").cast("string")))
+    return reading.find_destinations(p.filter("page_index = 0"), named, "p1")
