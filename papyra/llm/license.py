@@ -6,7 +6,8 @@ before they move, neighbouring diagonals (insertions or deletions of up to GAP w
 verified where the k-grams themselves, not only their hashes, agree for at least COVERAGE of the template's k-grams.
 
 Base labels are places of whole phrases. Defined results: null and empty texts have no words, no labels and score 0; the
-score is the best verified coverage, or 1 where a base phrase stands; every row is judged alone, whatever its doc_id.
+score is the best verified coverage, or 1 where a base phrase stands; every row is judged alone, whatever its doc_id; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

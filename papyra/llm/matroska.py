@@ -4,7 +4,8 @@
 (variable-length sizes, unknown sizes of segment and clusters, simple blocks and block groups, the four kinds of lacing)
 into rows of track, timestamp, flags and byte range, from which `payload` reads the samples back.
 
-Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal files; one file is made and
+Defined results: a null or empty text is a payload of 64 zero bytes; equal texts give equal files, so repeated rows repeat
+their results and there are no ties; an empty table gives no rows, other columns are ignored; one file is made and
 read within one task in pieces of clusters, a text being the largest unit held.
 """
 

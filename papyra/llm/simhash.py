@@ -13,7 +13,8 @@ key's fingerprints are cut into blocks and each pair of blocks is searched by a
 rounds of minimum-label hooking and pointer jumping on tables, each round written to the shared folder.
 
 Defined results: null, empty and blank texts have the fingerprint zero, linked like any other; texts of fewer than four
-words are one shingle; ties in the bit vote leave the bit unset; a component is named by its smallest doc_id.
+words are one shingle; ties in the bit vote leave the bit unset; a component is named by its smallest doc_id
+(null where no member has one); rows that repeat a doc_id are judged one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
