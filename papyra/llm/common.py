@@ -11,12 +11,14 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,7 +39,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: later stages survive lost executors without recomputing it."""
     path = f"{shared_root(df.sparkSession)}/papyra/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() whose every reader has been written itself; other DataFrames are left alone."""
+    for one in tables:
+        path = _paths.pop(one, None)
+        if path:
+            at = one.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(one.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

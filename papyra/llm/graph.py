@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import release, written
+from papyra.llm.common import discard, release, written
 
 
 def components(links: DataFrame, names: DataFrame) -> DataFrame:
@@ -21,7 +21,9 @@ def components(links: DataFrame, names: DataFrame) -> DataFrame:
         roots = hooked.groupBy("c").agg(F.min("m").alias("to"))
         stepped = written(hooked.join(roots, "c").select("fp", F.least("m", "to").alias("n"), F.col("c").alias("old")), "labels")
         jump = stepped.groupBy(F.col("old")).agg(F.min("n").alias("far")).withColumnRenamed("old", "at")
-        state = written(stepped.join(jump, stepped.n == jump["at"], "left").select("fp", F.least("n", F.coalesce("far", "n")).alias("c"), "old"), "labels")
+        before, state = state, written(stepped.join(jump, stepped.n == jump["at"], "left").select("fp", F.least("n", F.coalesce("far", "n")).alias("c"), "old"), "labels")
+        discard(before, stepped)
         if not state.filter("c <> old").limit(1).count():
             break
+    discard(both)
     return names.join(state, "fp", "left").select("fp", F.coalesce("c", "name").alias("component"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, release, tidy, written
+from papyra.llm.common import blocks, discard, release, tidy, written
 from papyra.llm.graph import components
 
 SHINGLE = 5
@@ -160,8 +160,8 @@ def screened(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are alike, by the texts of docs (key, text) under the names (node, name)."""
+def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose sets are alike, by the texts of docs (key, text) under the names (node, name); and the written table of sets that they are read from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
@@ -173,9 +173,10 @@ def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = written(names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("name").alias("key")), "wanted")
     made = docs.join(wanted, "key").select("node", "text").mapInArrow(run, "node long, members array<long>")
     used = written(made.dropDuplicates(["node"]), "compared")
+    discard(wanted)
     one, two = (used.select(F.col("node").alias(s), F.col("members").alias(f"m{s}")) for s in "ab")
     met = pairs.join(one, "a").join(two, "b").select("a", "b", (F.size("ma") + F.size("mb")).alias("n"), F.size(F.array_intersect("ma", "mb")).alias("both"))
-    return met.filter((ALIKE + OF) * F.col("both") >= ALIKE * F.col("n")).select("a", "b")
+    return met.filter((ALIKE + OF) * F.col("both") >= ALIKE * F.col("n")).select("a", "b"), used
 
 
 def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -186,7 +187,9 @@ def _merged(of: DataFrame, links: DataFrame) -> DataFrame:
         return of
     names = joined.select(F.explode(F.array("a", "b")).alias("fp")).distinct().select("fp", F.col("fp").alias("name"))
     to = components(joined, names).select(F.col("fp").alias("component"), F.col("component").alias("to"))
-    return written(of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "classes")
+    merged = written(of.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "classes")
+    discard(joined)
+    return merged
 
 
 def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,7 +201,10 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
     def linked(of: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs = written(screened(pairs, sets), "pairs")
         if pairs.limit(1).count():
-            of = _merged(of, alike(pairs, sets, texts))
+            links, used = alike(pairs, sets, texts)
+            before, of = of, _merged(of, links)
+            discard(used, *([before] if of is not before else []))
+        discard(pairs)
         release(docs.sparkSession)
         return of
 
@@ -218,8 +224,11 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
         close = (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")) & ((ALIKE + OF) * apart <= (OF - ALIKE) * (F.col("n") + F.col("pn")))
         meet = pivots.join(live, "k").filter((F.col("component") != F.col("pc")) & close)
         of = linked(of, meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
+        discard(live)
         tried, upto = upto, upto * GROWTH
-    return own.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component")
+    named = written(own.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component"), "named")
+    discard(own, sets, met, live, of)
+    return named
 
 
 def representatives(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, expand, release, table, tidy, written
+from papyra.llm.common import blocks, discard, expand, release, table, tidy, written
 
 SPAN = 50
 KGRAM = 20
@@ -539,9 +539,11 @@ def removed_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text", spa
     release(spark)
     hot = spark.sparkContext.broadcast(_hot(by_doc, number))
     runs = written(_candidates(rows, by_doc, hot, parts, span), "runs")
+    discard(by_doc)
     release(spark)
     whole = copies.select("key", "tag", F.concat(_long(F.lit(0)), _long("n")).alias("removed"))
     found = written(_ranges(runs, _sources(runs, span), span).unionByName(whole).dropDuplicates(["key", "tag"]), "removed")
+    discard(copies, runs)
     release(spark)
     return found
 
