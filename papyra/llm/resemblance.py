@@ -196,6 +196,8 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
     """(key, component): the smallest key reachable over texts that are alike. candidates: pairs (a, b) of nodes to try first, of (node, fp)."""
     own = written(shingled(docs, key, text), "shingles")
     sets = written(own.groupBy("node").agg(F.min("key").alias("name"), *[F.first(c).alias(c) for c in ("n", "first", "map", "fp", *_SKETCH)]), "sets")
+    nodes = written(own.select("key", "node"), "nodes")
+    discard(own)
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def linked(of: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -226,8 +228,8 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
         of = linked(of, meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
         discard(live)
         tried, upto = upto, upto * GROWTH
-    named = written(own.select("key", "node").join(of, "node").select(F.col("key").alias(key), "component"), "named")
-    discard(own, sets, met, live, of)
+    named = written(nodes.join(of, "node").select(F.col("key").alias(key), "component"), "named")
+    discard(nodes, sets, met, live, of)
     return named
 
 
