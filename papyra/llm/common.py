@@ -15,6 +15,7 @@ from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -58,11 +59,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files and broadcasts of what has been written."""
+    """Lets Spark's cleaner drop the shuffle files and broadcasts of what has been written, and the driver's JVM give freed memory back."""
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> str | None:
+    """Gives what the driver's JVM has freed outside its heap (compiled plans, network buffers) back to the system. HotSpot has the command from 17.0.9 on, with glibc; elsewhere nothing happens."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    kinds, given = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = named(kind)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:  # the server's own class is closed to callers, its interface is not
+        return named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return None
 
 
 def tidy() -> None:
