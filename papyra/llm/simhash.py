@@ -9,8 +9,8 @@ check. Keys hold 27 or 28 bits, so unrelated fingerprints rarely meet.
 
 Rows meet as distinct fingerprints, not as documents, so exact copies cost one row. Pairs are never emitted: within a key,
 a breadth-first search links each member to the tree it falls in, and at most members - 1 edges leave. Above HOT members a
-key's fingerprints are cut into blocks and each pair of blocks is searched by a task of its own. Components follow from
-rounds of minimum-label hooking and pointer jumping on tables, each round written to the shared folder.
+key's fingerprints are cut into blocks and each pair of blocks is searched by a task of its own. Components follow
+in one worker for up to graph.LOCAL edges; above that, rounds on tables contract the edges first.
 
 Defined results: null, empty and blank texts have the fingerprint zero, linked like any other; texts of fewer than four
 words are one shingle; ties in the bit vote leave the bit unset; a component is named by its smallest doc_id
