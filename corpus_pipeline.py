@@ -7,11 +7,13 @@ passages, and byte-level BPE tokenises what is left.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm import bpe, decontaminate, langid, simhash, suffix
-from papyra.llm.common import table, written
+from papyra.llm.common import release, table, written
 from papyra.session import ship
 
 #: A document whose best language has less than this share of the likelihood has no one language.
@@ -45,7 +47,18 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs.select("doc_id", "text", "lang", "source"), bpe.vocabulary(), decoded="text")
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("tokens", tokens)]
+def _released(stage):
+    """The stage, begun without what the stages before it left in memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(stage.__name__, _released(stage)) for stage in (language, near_duplicates, repeats, benchmark, tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm.common import blocks, expand, table
+from papyra.llm.common import blocks, caches, expand, table, tidy
 
 OTHER, LETTER, NUMBER, SPACE, END = range(5)
 NONE = np.int32(2**31 - 1)
@@ -290,6 +290,7 @@ def cut_text(text: str) -> Iterator[str]:
 
 _WHITE_SET = frozenset(_WHITE)
 _codecs: dict[str, Codec] = {}
+caches.append(_codecs)
 
 
 def codec(path: str) -> Codec:
@@ -324,6 +325,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
         schema = schema.add(decoded, T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         for batch in batches:
             got = [np.concatenate(x) for _, x in encode_texts(batch.column(text).to_pylist(), path)]
             columns = [batch.column(n) for n in names] + [pa.array([x.astype(np.int32) for x in got], pa.list_(pa.int32()))]
@@ -338,6 +340,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: see the query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         c = codec(path)
         for batch in batches:
             n, of_ids, of_text = [], [], []

@@ -17,9 +17,12 @@ import numpy as np
 import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What a Python worker keeps from task to task; settle() empties them.
+caches: list[dict] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,7 +30,7 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not _one_machine(spark):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -59,12 +62,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files and broadcasts of what has been written, and the driver's JVM give freed memory back."""
+    """Lets Spark's cleaner drop the shuffle files and broadcasts of what has been written, and the driver and the executors give freed memory back."""
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
     trim(spark)
+    if not _one_machine(spark):
+        settle(spark)
+
+
+def _one_machine(spark: SparkSession) -> bool:
+    """Is the driver's JVM the only executor?"""
+    return bool(re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master))
+
+
+def settle(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, after which their heaps shrink to what lives, and the Python workers forget their caches and tidy up.
+
+    One task for each core: executors that are free get as many as they have cores, so each idle worker gets one. An executor
+    or worker that gets none only keeps its memory."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("none")).mapInArrow(_forget, "none string").write.format("noop").mode("overwrite").save()
+
+
+def _forget(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of this module, not of a closure, so that a worker empties its own caches and not a copy that came with the task."""
+    for _ in batches:
+        pass
+    for cache in caches:
+        cache.clear()
+    tidy()
+    time.sleep(0.1)  # else a quick worker may take another one's task
+    yield from ()
 
 
 def trim(spark: SparkSession) -> str | None:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import table, written
+from papyra.llm.common import caches, table, tidy, written
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -206,6 +206,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _held: dict[tuple[str, int], Scanner] = {}
+caches.append(_held)
 
 
 def _scanner(token: str, shared: Broadcast, window: int) -> Scanner:
@@ -241,6 +242,7 @@ def _scan(docs: DataFrame, items: DataFrame, text: str, window: int, item_bytes:
         token, shared = uuid.uuid4().hex, mine.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tidy()
             scanner = _scanner(token, shared, window)
             for batch in batches:
                 counts, spans, found = looked(batch, scanner)

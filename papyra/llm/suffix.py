@@ -41,7 +41,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm.common import blocks, discard, expand, release, table, tidy, written
+from papyra.llm.common import blocks, caches, discard, expand, release, table, tidy, written
 
 SPAN = 50
 KGRAM = 20
@@ -60,6 +60,7 @@ SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _power: dict[str, np.ndarray] = {}
+caches.append(_power)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
