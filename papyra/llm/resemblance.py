@@ -157,7 +157,8 @@ def screened(pairs: DataFrame, maps: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one, two = (maps.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("map").alias(f"m{s}")) for s in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ma", "mb").mapInArrow(run, "a long, b long")
+    # a map is longer than Spark takes a binary value to be
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +171,7 @@ def alike(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> tuple[DataFram
             same = pa.array([_node(s) == k for s, k in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], names=["node", "members"]).filter(same)
 
-    wanted = written(names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("name").alias("key")), "wanted")
+    wanted = written(names.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("name").alias("key")), "wanted")
     made = docs.join(wanted, "key").select("node", "text").mapInArrow(run, "node long, members array<long>")
     used = written(made.dropDuplicates(["node"]), "compared")
     discard(wanted)
@@ -212,7 +213,9 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
 
     of = linked(sets.select("node", F.col("name").alias("component")), candidates(sets.select("node", "fp")))
     keyed = sets.select("node", "n", *_SKETCH, F.explode("first").alias("k"))
-    met = written(keyed.join(sets.select(F.explode("first").alias("k")).groupBy("k").agg(F.count("*").alias("size")).filter("size > 1"), "k").select("k", "node", "n", "size", *_SKETCH), "groups")
+    # Spark sizes exploded rows by their tables, too low by the length of the arrays: these joins are told not to broadcast
+    sizes = sets.select(F.explode("first").alias("k")).groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
+    met = written(keyed.join(sizes.hint("merge"), "k").select("k", "node", "n", "size", *_SKETCH), "groups")
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("size")
     tried, upto = 0, PIVOTS
     while True:
@@ -224,7 +227,7 @@ def classes(docs: DataFrame, candidates: Callable[[DataFrame], DataFrame], key:
         pivots = live.filter((place >= tried) & (place < upto)).select("k", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"), *[F.col(c).alias(f"p{c}") for c in _SKETCH])
         apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"p{c}"))) for c in _SKETCH), F.lit(0))
         close = (OF * F.least("n", "pn") >= ALIKE * F.greatest("n", "pn")) & ((ALIKE + OF) * apart <= (OF - ALIKE) * (F.col("n") + F.col("pn")))
-        meet = pivots.join(live, "k").filter((F.col("component") != F.col("pc")) & close)
+        meet = pivots.join(live.hint("merge"), "k").filter((F.col("component") != F.col("pc")) & close)
         of = linked(of, meet.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct())
         discard(live)
         tried, upto = upto, upto * GROWTH

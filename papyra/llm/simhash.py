@@ -147,8 +147,9 @@ def edges(distinct: DataFrame) -> DataFrame:
     """distinct: table of distinct fp. Edges (a, b) that connect exactly what links within DISTANCE connect."""
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"))).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1")
-    # a key that only one fingerprint has meets nothing; a hot key is cut into blocks that meet two and two
-    met = keyed.join(sizes, "k")
+    # a key that only one fingerprint has meets nothing; a hot key is cut into blocks that meet two and two.
+    # Spark sizes the keys like the fingerprints, 35 times too low, and would broadcast them: the join is told not to
+    met = keyed.join(sizes.hint("merge"), "k")
     cut = F.ceil(F.col("n") / F.lit(HOT)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), cut).cast("int")
     others = F.transform(F.sequence(F.lit(0), cut - 1), lambda j: F.struct(F.least(j, own).alias("x"), F.greatest(j, own).alias("y")))
