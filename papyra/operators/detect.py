@@ -50,6 +50,10 @@ def tags(words: DataFrame) -> DataFrame:
     return by_line.select("doc_id", "line_index", F.when(ratio >= 2.0, "H1").when(ratio >= 1.6, "H2").when(ratio >= 1.3, "H3").otherwise("P").alias("tag"))
 
 
+#: What crop_bounds reads of words.
+BOX = ("page_index", "x", "y", "width", "height")
+
+
 def crop_bounds(words: DataFrame) -> DataFrame:
     return words.groupBy("doc_id", "page_index").agg(F.min("x").alias("left"), F.min("y").alias("bottom"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("top"))
 

@@ -6,10 +6,15 @@ document is set larger. All of these are narrow transformations of the text colu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.scalars import match_spans
+from papyra.operators.groups import blocks
 
 LINES_PER_PAGE, CELL, HEIGHT, LEADING = 40, 6, 12, 14
 WIDTH, PAGE_HEIGHT, LEFT, TOP = 612, 792, 72, 720
@@ -32,12 +37,48 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """(…, word_index, text, x, y, width, height): runs without white space."""
-    spans = F.posexplode(match_spans(F.col("text"), r"[^ \n\t\r]+")).alias("word_index", "span")
-    return lines(docs).select("doc_id", "page_index", "line_index", "y", "height", "font_size", spans).select(
-        "doc_id", "page_index", "line_index", "word_index", F.col("span.text").alias("text"), (LEFT + CELL * F.col("span.start")).cast("int").alias("x"), "y", (CELL * F.length("span.text")).alias("width"), "height", "font_size"
-    )
+WORD = {"page_index": "int", "line_index": "int", "word_index": "int", "text": "string", "x": "int", "y": "int", "width": "int", "height": "int", "font_size": "int"}
+
+
+def words_of(texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
+    """The number of each word's text, and columns of WORD. Bytes are looked at all at once, not text by text."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    off = (at - at[0]).astype(np.int64)
+    solid = ~((raw == 32) | (raw == 10) | (raw == 9) | (raw == 13))
+    # a word's first byte follows a blank or a text's edge, its last byte precedes one
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[off] = True
+    start = np.flatnonzero(solid & (cut[:-1] | ~np.concatenate([[False], solid[:-1]])))
+    end = np.flatnonzero(solid & (cut[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
+    text = np.searchsorted(off, start, "right") - 1
+    breaks = np.flatnonzero(raw == 10)
+    passed = np.searchsorted(breaks, start)
+    line = passed - np.searchsorted(breaks, off[:-1])[text]
+    begin = np.maximum(off[text], np.concatenate([[0], breaks + 1])[passed])
+    point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
+    x, n = point[start] - point[begin], point[end] - point[start]
+    first = np.flatnonzero(np.concatenate([[True], begin[1:] != begin[:-1]])) if len(start) else np.zeros(0, np.int64)
+    word = np.arange(len(start)) - np.repeat(first, np.diff(np.append(first, len(start))))
+    held = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)), pa.py_buffer(raw[solid]))
+    full = lambda v: np.full(len(start), v)
+    return text, {
+        "page_index": line // LINES_PER_PAGE, "line_index": line, "word_index": word, "text": held, "x": LEFT + CELL * x, "y": TOP - LEADING * (line % LINES_PER_PAGE),
+        "width": CELL * n, "height": full(HEIGHT), "font_size": np.where(line == 0, TITLE_FONT, BODY_FONT),
+    }
+
+
+def words(docs: DataFrame, *columns: str) -> DataFrame:
+    """(doc_id and columns of WORD, all by default): runs without white space."""
+    columns = columns or tuple(WORD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for b in batches for part in blocks(b, "text")):
+            of, found = words_of(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(of)), *[v if isinstance(v := found[c], pa.Array) else pa.array(v.astype(np.int32)) for c in columns]], names=["doc_id", *columns])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} {WORD[c]}" for c in columns))
 
 
 def chars(docs: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def text_lines(spark, sf_dir):
 
 @register("text_words", f"WITH {WORDS} SELECT doc_id, page_index, line_index, word_index, text, x, y::INT AS y FROM words")
 def text_words(spark, sf_dir):
-    return layout.words(docs(spark, sf_dir)).select("doc_id", "page_index", "line_index", "word_index", "text", "x", "y")
+    return layout.words(docs(spark, sf_dir), "page_index", "line_index", "word_index", "text", "x", "y")
 
 
 @register("char_histogram", "SELECT c AS char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS c FROM documents) WHERE c NOT IN ('', chr(10)) GROUP BY c")
@@ -95,12 +95,12 @@ def blank_pages(spark, sf_dir):
 
 @register("crop_bounds", f"WITH {WORDS} SELECT doc_id, page_index, min(x) AS \"left\", min(y)::INT AS bottom, max(x + 6 * length(text))::INT AS \"right\", max(y + 12)::INT AS top FROM words GROUP BY ALL")
 def crop_bounds(spark, sf_dir):
-    return detect.crop_bounds(layout.words(docs(spark, sf_dir)))
+    return detect.crop_bounds(layout.words(docs(spark, sf_dir), *detect.BOX))
 
 
 @register("crop_uniform", f"WITH {WORDS}, b AS (SELECT doc_id, min(x) AS l, min(y) AS b, max(x + 6 * length(text)) AS r, max(y + 12) AS t FROM words GROUP BY ALL) SELECT doc_id, greatest(l - 10, 0)::DOUBLE AS \"left\", greatest(b - 10, 0)::DOUBLE AS bottom, (r + 10)::DOUBLE AS \"right\", (t + 10)::DOUBLE AS top FROM b")
 def crop_uniform(spark, sf_dir):
-    out = detect.uniform_crop(detect.crop_bounds(layout.words(docs(spark, sf_dir))), 10.0)
+    out = detect.uniform_crop(detect.crop_bounds(layout.words(docs(spark, sf_dir), *detect.BOX)), 10.0)
     return out.select("doc_id", *[F.col(c).cast("double").alias(c) for c in ("left", "bottom", "right", "top")])
 
 
@@ -126,7 +126,7 @@ def toc_layout(spark, sf_dir):
 
 @register("structure_tags", f"WITH {WORDS}, f AS (SELECT *, CASE WHEN line_index = 0 THEN 18 ELSE 12 END AS size FROM words), m AS (SELECT doc_id, page_index, list_sort(list(size))[(count(*) // 2 + 1)::INT] AS med FROM f GROUP BY ALL), l AS (SELECT DISTINCT doc_id, page_index, line_index, size FROM f) SELECT doc_id, line_index, CASE WHEN size / med >= 2 THEN 'H1' WHEN size / med >= 1.6 THEN 'H2' WHEN size / med >= 1.3 THEN 'H3' ELSE 'P' END AS tag FROM l JOIN m USING (doc_id, page_index)")
 def structure_tags(spark, sf_dir):
-    return detect.tags(layout.words(docs(spark, sf_dir)))
+    return detect.tags(layout.words(docs(spark, sf_dir), "page_index", "line_index", "font_size"))
 
 
 @register("page_tables")
@@ -157,7 +157,7 @@ def document_audit(spark, sf_dir):
 
 @register("font_usage", f"WITH {WORDS} SELECT doc_id, font_size, n_chars, row_number() OVER (PARTITION BY doc_id ORDER BY n_chars DESC, font_size)::INT AS rank FROM (SELECT doc_id, CASE WHEN line_index = 0 THEN 18 ELSE 12 END::INT AS font_size, sum(length(text))::BIGINT AS n_chars FROM words GROUP BY ALL)")
 def font_usage(spark, sf_dir):
-    return analytics.fonts(layout.words(docs(spark, sf_dir)))
+    return analytics.fonts(layout.words(docs(spark, sf_dir), "text", "font_size"))
 
 
 @register("exact_duplicates", "SELECT sha256(text) AS text_hash, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")

@@ -17,7 +17,7 @@ TITLES = LINES + r", titles AS (SELECT doc_id, page_index, line_index, regexp_re
 
 def objects(spark, sf_dir):
     n = F.length("text")
-    return layout.words(docs(spark, sf_dir)).select("doc_id", "page_index", (n % 7).alias("type"), n.cast("long").alias("n_bytes"), F.when(n > 3, F.array(F.lit("FlateDecode"))).otherwise(F.array().cast("array<string>")).alias("filters"))
+    return layout.words(docs(spark, sf_dir), "page_index", "text").select("doc_id", "page_index", (n % 7).alias("type"), n.cast("long").alias("n_bytes"), F.when(n > 3, F.array(F.lit("FlateDecode"))).otherwise(F.array().cast("array<string>")).alias("filters"))
 
 
 def areas(spark, sf_dir):
