@@ -43,10 +43,16 @@ def contents(headings: DataFrame, per_document: int = 42) -> DataFrame:
 
 
 def tags(words: DataFrame) -> DataFrame:
-    """(doc_id, line_index, tag): H1, H2, H3 by the line's font against its page's upper median word font; else P."""
-    median = words.groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list("font_size")).alias("sizes")).select("doc_id", "page_index", F.element_at("sizes", (F.size("sizes") / 2).cast("int") + 1).alias("median"))
+    """(doc_id, line_index, tag): H1, H2, H3 by the line's font against its page's upper median word font; else P.
+
+    Words are counted by line and font before they move. The median is the first font, from the smallest on, with which more
+    than half of the page's words are counted."""
+    counted = words.filter("doc_id is not null and page_index is not null").groupBy("doc_id", "page_index", "line_index", "font_size").agg(F.count("font_size").alias("n"))
+    page = W.partitionBy("doc_id", "page_index")
+    so_far, every = F.sum("n").over(page.orderBy("font_size")), F.sum("n").over(page)
+    sized = counted.withColumn("median", F.when(so_far > F.floor(every / 2), F.col("font_size"))).withColumn("median", F.min("median").over(page))
+    by_line = sized.groupBy("doc_id", "page_index", "line_index").agg(F.max("font_size").alias("size"), F.first("median").alias("median"))
     ratio = F.col("size") / F.col("median")
-    by_line = words.groupBy("doc_id", "page_index", "line_index").agg(F.max("font_size").alias("size")).join(median, ["doc_id", "page_index"])
     return by_line.select("doc_id", "line_index", F.when(ratio >= 2.0, "H1").when(ratio >= 1.6, "H2").when(ratio >= 1.3, "H3").otherwise("P").alias("tag"))
 
 

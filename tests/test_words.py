@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from papyra.operators import layout
+from papyra.operators import detect, layout
 from papyra.plans import catalogue
 
 from .conftest import DATA
@@ -29,8 +29,17 @@ def test_words(spark, parts):
     assert layout.words(docs.filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["text_words", "crop_bounds", "crop_uniform", "font_usage", "object_summary", "image_filters"])
+@pytest.mark.parametrize("name", ["text_words", "crop_bounds", "crop_uniform", "font_usage", "structure_tags", "object_summary", "image_filters"])
 def test_no_lambda_for_each_word(spark, name):
     """Spark interprets lambdas; over each word they cost more than all the rest."""
     plan = catalogue.QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "lambda" not in plan and "MapInArrow" in plan
+
+
+def test_tags_by_the_upper_median(spark):
+    """Of an even number of words, the later of the two in the middle; a line by its largest font; pages stand alone."""
+    sizes = {(1, 0, 0): [24, 10], (1, 0, 1): [10, 12], (1, 0, 2): [16], (1, 0, 3): [20, 10], (1, 1, 40): [20], (2, 0, 0): [13, 10], (2, 0, 1): [10, 10]}
+    words = [(*at, n) for at, every in sizes.items() for n in every] + [(None, 0, 0, 10)]
+    got = detect.tags(spark.createDataFrame(words, "doc_id long, page_index int, line_index int, font_size int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 0, "H1"), (1, 1, "P"), (1, 2, "H3"), (1, 3, "H2"), (1, 40, "P"), (2, 0, "H3"), (2, 1, "P")]
+    assert "SortMergeJoin" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
