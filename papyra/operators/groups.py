@@ -22,7 +22,7 @@ def edges(table: pa.Table | pa.RecordBatch, keys: int) -> np.ndarray:
     """Where another group begins than in the row before, by the first columns (numbers); nulls are equal."""
     differs = np.zeros(max(0, table.num_rows - 1), bool)
     for c in table.columns[:keys]:
-        for v in (pc.fill_null(c, 0).to_numpy(), pc.is_null(c).to_numpy()):
+        for v in (x.to_numpy(zero_copy_only=False) for x in (pc.fill_null(c, 0), pc.is_null(c))):
             differs |= v[1:] != v[:-1]
     return np.flatnonzero(differs) + 1
 

@@ -40,9 +40,10 @@ def lines(docs: DataFrame) -> DataFrame:
 WORD = {"page_index": "int", "line_index": "int", "word_index": "int", "text": "string", "x": "int", "y": "int", "width": "int", "height": "int", "font_size": "int"}
 
 
-def words_of(texts: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
+def words_of(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array]]:
     """The number of each word's text, and columns of WORD. Bytes are looked at all at once, not text by text."""
     texts = pc.fill_null(texts.cast(pa.string()), "")
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
     off = (at - at[0]).astype(np.int64)

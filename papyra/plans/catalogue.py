@@ -131,7 +131,7 @@ def structure_tags(spark, sf_dir):
 
 @register("page_tables")
 def page_tables(spark, sf_dir):
-    return detect.tables(layout.words(docs(spark, sf_dir)))
+    return detect.page_tables(layout.pages(docs(spark, sf_dir)))
 
 
 @register("reading_order")

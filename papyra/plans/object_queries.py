@@ -204,12 +204,12 @@ def ligatures(spark, sf_dir):
 
 @register("tables_csv")
 def tables_csv(spark, sf_dir):
-    return files.csv_text(detect.tables(layout.words(docs(spark, sf_dir))))
+    return files.csv_text(detect.page_tables(layout.pages(docs(spark, sf_dir))))
 
 
 @register("tables_json")
 def tables_json(spark, sf_dir):
-    return files.json_text(detect.tables(layout.words(docs(spark, sf_dir))))
+    return files.json_text(detect.page_tables(layout.pages(docs(spark, sf_dir))))
 
 
 @register("stats_report")
