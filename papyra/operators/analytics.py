@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,19 +68,91 @@ def hash_pairs(hashes: DataFrame, distance: int = 5) -> DataFrame:
     return banded.join(other, ["band", "part"]).filter((F.col("id") < F.col("b")) & (d <= distance)).select(F.col("id").alias("a"), "b", d.cast("int").alias("distance")).distinct()
 
 
+class _Leaders:
+    """Leaders in order, found by hash: within `distance` bits of 64, at least two of distance + 2 segments are equal, so
+    leaders are kept under each pair of segments, in runs that double in length: few are merged again as more come."""
+
+    #: Rows that are looked up at once, and pairs that are compared at once.
+    ROWS, PAIRS = 1024, 1 << 20
+
+    def __init__(self, distance: int):
+        self.distance, self.hashes = distance, np.zeros(0, np.uint64)
+        edge = [64 * i // (distance + 2) for i in range(distance + 3)]
+        masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edge, edge[1:], strict=False)]
+        self.masks = [np.uint64(a | b) for a, b in combinations(masks, 2)]
+        self.runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.masks]
+
+    def first(self, some: np.ndarray) -> np.ndarray:
+        """The place of the first leader within the distance of each hash; their number where there is none."""
+        none = len(self.hashes)
+        out = np.full(len(some), none)
+        for mask, runs in zip(self.masks, self.runs, strict=True):
+            for keys, places in runs:
+                lo, hi = (np.searchsorted(keys, some & mask, side) for side in ("left", "right"))
+                met = np.flatnonzero(hi > lo)
+                lo, n = lo[met], (hi - lo)[met]
+                while len(met):  # of each that is left, as many as fit
+                    share = np.minimum(n, max(1, self.PAIRS // len(met)))
+                    who = np.repeat(met, share)
+                    to = places[np.repeat(lo - np.concatenate([[0], np.cumsum(share)[:-1]]), share) + np.arange(share.sum())]
+                    near = np.bitwise_count(self.hashes[to] ^ some[who]) <= self.distance
+                    np.minimum.at(out, who[near], to[near])
+                    lo, n = lo + share, n - share
+                    lo, n, met = lo[n > 0], n[n > 0], met[n > 0]
+        return out
+
+    def add(self, some: np.ndarray) -> None:
+        places = np.arange(len(self.hashes), len(self.hashes) + len(some))
+        self.hashes = np.concatenate([self.hashes, some])
+        for mask, runs in zip(self.masks, self.runs, strict=True):
+            keys, own = some & mask, places
+            while runs and len(runs[-1][0]) <= 2 * len(keys):
+                before = runs.pop()
+                keys, own = np.concatenate([before[0], keys]), np.concatenate([before[1], own])
+            order = np.argsort(keys, kind="stable")
+            runs.append((keys[order], own[order]))
+
+
+def leaders(hashes: np.ndarray, distance: int) -> np.ndarray:
+    """For each hash, in order, the place of the first leader within the distance: of its own where it leads."""
+    found = _Leaders(distance)
+    place = np.zeros(0, np.int64)  # of each leader among hashes
+    out = np.arange(len(hashes))
+    for a in range(0, len(hashes), found.ROWS):
+        part = hashes[a : a + found.ROWS]
+        at = found.first(part)
+        old = at < len(place)
+        out[a : a + len(part)][old] = place[at[old]]
+        left = np.flatnonzero(~old)
+        close = np.bitwise_count(part[left][:, None] ^ part[left][None, :]) <= distance
+        new: list[int] = []
+        free = np.ones(len(left), bool)
+        for i in range(len(left)):  # each that is still free leads, and takes those near it that are
+            if free[i]:
+                took = close[i] & free
+                out[a + left[took]] = a + left[i]
+                free &= ~took
+                new.append(int(left[i]))
+        found.add(part[new])
+        place = np.concatenate([place, a + np.array(new, np.int64)])
+    return out
+
+
 def leader_clusters(hashes: DataFrame, distance: int = 5) -> DataFrame:
     """(group, id, hash) with leader and distance: within a group (a document's pages), in the order of id, each joins the first leader
-    within the distance, or leads."""
+    within the distance, or leads. A group is one task; leaders are looked up, so that its time does not follow their square."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[int, int]] = []
-        out = []
-        for g, i, h in group.sort_values("id")[["group", "id", "hash"]].itertuples(index=False, name=None):
-            leader, apart = next(((j, n) for j, x in leaders if (n := ((h ^ x) & (1 << 64) - 1).bit_count()) <= distance), (i, 0))
-            if leader == i:
-                leaders.append((i, h))
-            out.append((g, i, leader, apart))
-        return pd.DataFrame(out, columns=["group", "id", "leader", "distance"])
+        group = group.sort_values("id", kind="stable")
+        ids, own = group["id"].to_numpy(), group["hash"].to_numpy().astype(np.int64).view(np.uint64)
+        distinct, first, of = np.unique(own, return_index=True, return_inverse=True)
+        order = np.argsort(first)  # equal hashes join the same leader; each stands where it comes first
+        to = first[order][leaders(distinct[order], distance)]
+        leader = np.empty(len(distinct), np.int64)
+        leader[order] = to
+        leader = leader[of]
+        apart = np.bitwise_count(own ^ own[leader]).astype(np.int32)
+        return pd.DataFrame({"group": group["group"].to_numpy(), "id": ids, "leader": ids[leader], "distance": apart})
 
     return hashes.groupBy("group").applyInPandas(run, "group long, id long, leader long, distance int")
 

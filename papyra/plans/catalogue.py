@@ -184,8 +184,7 @@ def hash_pairs(spark, sf_dir):
 
 @register("hash_clusters")
 def hash_clusters(spark, sf_dir):
-    keyed = page_hashes(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("group")), "id")
-    return analytics.leader_clusters(keyed.select("group", "id", "hash"))
+    return analytics.leader_clusters(table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("group"), F.col("vec_id").alias("id"), analytics.average_hash(F.col("embedding")).alias("hash")))
 
 
 @register("human_sizes", "SELECT doc_id, CASE WHEN b < 1024 THEN b::VARCHAR || ' B' WHEN b < 1048576 THEN format('{:.1f} KB', round(b / 1024, 1)) ELSE format('{:.1f} MB', round(b / 1048576, 1)) END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)")
