@@ -208,14 +208,12 @@ def pii_matches(spark, sf_dir):
 
 @register("pii_counts", f"WITH {KEPT} SELECT category, lang, count(*) AS n, count(DISTINCT doc_id) AS docs FROM kept GROUP BY ALL")
 def pii_counts(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return redact.matches(d).join(d.select("doc_id", "lang"), "doc_id").groupBy("category", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return redact.matches(docs(spark, sf_dir), None, "lang").groupBy("category", "lang").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @register("pii_rollup", f"WITH {KEPT} SELECT coalesce(category, 'all') AS category, coalesce(lang, 'all') AS lang, count(*) AS n FROM kept GROUP BY ROLLUP (category, lang)")
 def pii_rollup(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    rolled = redact.matches(d).join(d.select("doc_id", "lang"), "doc_id").rollup("category", "lang").agg(F.count("*").alias("n"))
+    rolled = redact.matches(docs(spark, sf_dir), None, "lang").rollup("category", "lang").agg(F.count("*").alias("n"))
     return rolled.select(F.coalesce("category", F.lit("all")).alias("category"), F.coalesce("lang", F.lit("all")).alias("lang"), "n")
 
 
