@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions.patterns import NEEDED, PATTERNS, escaped, select
-from papyra.functions.scalars import luhn, match_spans
+from papyra.functions.scalars import let, luhn, match_spans
 
 #: Fixed values, in order; the first that a sentence contains, as a substring, is its detail.
 PRONOUNS = (
@@ -67,11 +67,11 @@ def word_pattern(words: list[str], regex: bool = False, whole_word: bool = False
 def redact(docs: DataFrame, pattern: str | Column, mask: str = "█") -> DataFrame:
     """docs with every match covered, character by character, and n_redacted."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all("text", pattern, F.lit(0))
-    between = F.split("text", pattern, -1)
-    covered = F.transform(found, lambda m: F.regexp_replace(m, "(?s).", mask))
-    joined = F.array_join(F.flatten(F.zip_with(between, covered, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    return docs.withColumns({"n_redacted": F.size(found).cast("long"), "text": joined})
+    both = F.struct(F.regexp_extract_all("text", pattern, F.lit(0)).alias("found"), F.split("text", pattern, -1).alias("between"))
+    put = lambda a, m: F.concat(a, F.coalesce(F.repeat(F.lit(mask), F.length(m)), F.lit("")))
+    covered = let(both, lambda s: F.struct(F.size(s["found"]).cast("long").alias("n"), F.array_join(F.zip_with(s["between"], s["found"], put), "").alias("text")))
+    done = docs.withColumn("__covered", covered)
+    return done.withColumns({"n_redacted": F.col("__covered.n"), "text": F.col("__covered.text")}).drop("__covered")
 
 
 def entities(docs: DataFrame, dictionary: dict[str, str]) -> DataFrame:
@@ -135,16 +135,19 @@ def run(docs: DataFrame, options: Options) -> DataFrame:
     and n_entities count what was found, n_words what was covered, n_redactions all three. Metadata keys concern no text.
     """
 
-    def texts(spans: Column) -> Column:
-        return F.transform(spans, lambda m: m.text)
+    def texts(text: Column, p: str) -> Column:
+        return F.regexp_extract_all(text, F.lit(p), F.lit(0))
 
     text = F.col("text")
-    cards = [F.filter(texts(match_spans(text, p)), lambda t: luhn(t)) if k == "credit_card" else texts(match_spans(text, p)) for k, p in (select(*options.categories).items() if options.categories else ())]
+    none = F.array().cast("array<string>")
+    cards = []
+    for k, p in (select(*options.categories).items() if options.categories else ()):
+        found = F.when(possible(k, p, text), texts(text, p)).otherwise(none)
+        cards.append(F.filter(found, lambda t: luhn(t)) if k == "credit_card" else found)
     named = F.lit(None).cast("array<string>")
     if options.dictionary:
         keys = sorted({k.lower() for k in options.dictionary}, key=lambda k: (-len(k), k))
-        named = texts(match_spans(F.lower(text), f"(?<![a-z0-9])(?:{'|'.join(map(escaped, keys))})(?![a-z0-9])"))
-    none = F.array().cast("array<string>")
+        named = texts(F.lower(text), f"(?<![a-z0-9])(?:{'|'.join(map(escaped, keys))})(?![a-z0-9])")
     found = docs.withColumns({"__found": F.coalesce(F.flatten(F.array(*cards)), none) if cards else none, "__named": F.coalesce(named, none)})
     words = F.array_distinct(F.concat(F.array(*map(F.lit, options.words)).cast("array<string>"), "__found", "__named"))
     longest = F.array_sort(words, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
