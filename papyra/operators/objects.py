@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.scalars import truthy, xml_escape
+from papyra.operators.groups import together, whole
 
 HIDDEN, PRINT, READ_ONLY, REQUIRED, EDITABLE = 2, 4, 1, 2, 1 << 17
 
@@ -42,17 +47,31 @@ def show_layer(annotations: DataFrame, name: str, visible: bool) -> DataFrame:
     return annotations.withColumn("flags", F.when(layer(F.col("contents")) == name, put).otherwise(flags))
 
 
+def _tree(nodes: list, parents: list, depth: int) -> list[tuple[int, list, int]]:
+    """(depth, path, n_below) of the nodes that a root leads to, level by level; a node that is there twice has all below it twice."""
+    under: dict = {}
+    for node, parent in zip(nodes, parents, strict=True):
+        under.setdefault(parent, []).append(node)
+    level = [[n] for n in under.get(None, [])]
+    every: list[tuple[int, list]] = []
+    for d in range(depth + 1):
+        every += [(d, path) for path in level]
+        level = [[*path, n] for path in level if path[-1] is not None for n in under.get(path[-1], [])]
+    below = Counter(n for _, path in every for n in path)
+    return [(d, path, below[path[-1]] - 1) for d, path in every if path[-1] is not None]
+
+
 def bookmark_tree(bookmarks: DataFrame, depth: int = 100) -> DataFrame:
-    """(doc_id, node_id, depth, path, n_below) of (doc_id, node_id, parent_id, title): levels are joined on until none is left."""
-    level = bookmarks.filter("parent_id is null").select("doc_id", "node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path"))
-    every = level
-    for d in range(1, depth + 1):
-        level = bookmarks.join(level.select("doc_id", F.col("node_id").alias("parent_id"), F.col("path").alias("up")), ["doc_id", "parent_id"]).select("doc_id", "node_id", F.lit(d).alias("depth"), F.array_append("up", F.col("node_id")).alias("path"))
-        if level.isEmpty():
-            break
-        every = every.unionByName(level)
-    below = every.select("doc_id", F.explode("path").alias("node_id")).groupBy("doc_id", "node_id").agg((F.count("*") - 1).alias("n_below"))
-    return every.join(below, ["doc_id", "node_id"])
+    """(doc_id, node_id, depth, path, n_below) of (doc_id, node_id, parent_id, title): down to a depth. A document's bookmarks are one group, and move once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in whole(batches, 1):
+            doc, node, parent = (c.to_pylist() for c in table.columns)
+            rows = [(doc[a], path[-1], d, path, n) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True) for d, path, n in _tree(node[a:b], parent[a:b], depth)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["doc_id", "node_id", "depth", "path", "n_below"])
+
+    return together(bookmarks.filter("doc_id is not null").select("doc_id", "node_id", "parent_id"), "doc_id").mapInArrow(run, "doc_id long, node_id long, depth int, path array<long>, n_below long")
 
 
 def fill_form(fields: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
